@@ -248,3 +248,8 @@ def digests(docs: DataFrame) -> DataFrame:
     pieces = tokenise(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     placed = place(table(pieces, "pieces"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage of the pipeline: one row for each piece of each document that is left."""
+    return digests(docs)
