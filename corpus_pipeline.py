@@ -9,11 +9,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftscan.llm import packing, quality_rules
+from weftscan.llm import minhash, packing, pii, quality_classifier, quality_rules
 from weftscan.llm.store import shared_dir
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("quality_classifier", quality_classifier.stage),
+    ("minhash", minhash.stage),
+    ("pii", pii.stage),
     ("packing", packing.stage),
 ]
 
