@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_model, media, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces
+from . import html_text, language_model, licences, media, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": media.op2_media,
         "op3_pii": pii.op3_pii,
         "op4_packing": packing.op4_packing,
+        "op5_licences": licences.op5_licences,
         "op6_minhash": minhash.op6_minhash,
         "op7_html_text": html_text.op7_html_text,
         "op8_language_model": language_model.op8_language_model,
