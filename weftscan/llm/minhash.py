@@ -7,9 +7,10 @@
    the bucket. Pairs whose collision-corrected similarity, estimated by bit counts, is too low to reach the
    threshold are dropped; the others are confirmed on full sets, and components are found.
 3. A bucket whose members still lie in several components holds pairs not yet compared. Its rows are dealt in
-   blocks to triangular cells of bounded size, where signatures are compared bit-parallel and only promising
-   pairs of different components leave the cell; these are confirmed likewise. So every pair that shares a
-   bucket is compared unless its members are connected already, and no bucket is capped.
+   blocks to triangular cells of bounded size, where sizes and signatures are compared. Rows with a promising
+   partner of another component go to such cells once more, with their full sets, and only links that connect
+   something leave them. So every pair that shares a bucket is compared, once, unless its members are connected
+   already; no bucket is capped, and pairs are not written out.
 
 At a similarity of 0.75 a pair shares none of 32 bands with a probability of 5e-6; the margin of the estimate is
 6 standard deviations. Nothing but counts comes to the driver.
@@ -163,26 +164,31 @@ def estimated(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(estimate(_DIFFERENT[x].reshape(len(a), -1).sum(axis=1, dtype=np.int64)))
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 @pandas_udf(T.BooleanType())
 def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pd.Series(out, dtype="bool")
+    return pd.Series([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Only texts of classes in a pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = table(classes.select("set_id", "rep", "th").join(ids, "set_id", "left_semi"), "wanted")
-    texts = join_sized(_texts(docs), wanted.select(F.col("rep").alias("doc_id"), "th").distinct(), ["doc_id", "th"])
-    sets = table(_sets(texts).dropDuplicates(["set_id"]), "sets")
-    one, two = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb")), sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha"))
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, docs)
+    one, two = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
     return pairs.select("a", "b").join(one, "b").join(two, "a").where(linked("ha", "hb")).select("a", "b")
 
 
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, hashes: the full sets of some classes, as a stored table."""
+    wanted = table(classes.select("set_id", "rep", "th").join(reps, "rep", "left_semi"), "wanted")
+    texts = join_sized(_texts(docs), wanted.select(F.col("rep").alias("doc_id"), "th").distinct(), ["doc_id", "th"])
+    sets = _sets(texts).dropDuplicates(["set_id"])
+    return table(join_sized(sets, wanted.select("set_id", "rep"), ["set_id"]).select("rep", "hashes"), "sets")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(label, root) for every label in ``links`` (la, lb): the least label that it reaches.
 
@@ -211,57 +217,102 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("la").alias("label"), F.col("lb").alias("root"))
 
 
-PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _promising(cell: list[dict], rows: np.ndarray) -> np.ndarray:
+    """For each of a cell's rows (an array of indices), a boolean row: which later rows it must be compared with.
+
+    Labels must differ, sizes allow the threshold, the estimate come near it, the pair's first common band be this
+    bucket's, neither be the bucket's leader, and in a cell of two blocks the blocks differ.
+    """
+    sig = np.frombuffer(b"".join(r["sig"] for r in cell), np.uint8).reshape(len(cell), -1)
+    bands = np.array([r["bands"] for r in cell], np.int64)
+    label, size = np.array([r["label"] for r in cell]), np.array([r["n_shingles"] for r in cell])
+    block, node = np.array([r["own"] for r in cell]), np.array([r["rep"] for r in cell])
+    band = int(np.flatnonzero(bands[0] == cell[0]["key"])[0])
+    two, leader = cell[0]["i"] != cell[0]["j"], cell[0]["leader"]
+    out = np.zeros((len(rows), len(cell)), bool)
+    for k, at in enumerate(rows.tolist()):
+        if node[at] == leader:
+            continue
+        good = (label != label[at]) & (node != leader) & (np.arange(len(cell)) > at)
+        if two:
+            good &= block != block[at]
+        good &= 100 * np.minimum(size, size[at]) >= PERCENT * np.maximum(size, size[at])
+        where = np.flatnonzero(good)
+        if len(where):
+            near = estimate(_DIFFERENT[sig[where] ^ sig[at]].sum(axis=1, dtype=np.int64)) >= LEAST_ESTIMATE
+            where = where[near]
+            first = (bands[where] == bands[at]).argmax(axis=1) == band
+            out[k, where[first]] = True
+    return out
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Promising pairs of different labels within each bucket of ``rows`` (key, n, leader, set_id, sig, label)."""
+    """Rows (key, rep, label, sig, bands, n_shingles, leader, n, ...) of buckets dealt in blocks to triangular cells, sorted by cell."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.select("key", "i", "j", "own", "leader", "set_id", "sig", "label").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs(cell: list[dict]) -> tuple[list[bytes], list[bytes]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in cell), np.uint8).reshape(len(cell), -1)
-        label = np.array([r["label"] for r in cell])
-        block = np.array([r["own"] for r in cell])
-        out_a, out_b = [], []
-        for k, r in enumerate(cell):
-            if r["set_id"] == r["leader"]:
-                continue
-            rest = slice(k + 1, None)
-            good = label[rest] != label[k]
-            if r["i"] != r["j"]:
-                good &= block[rest] != block[k]
-            if good.any():
-                near = estimate(_DIFFERENT[sig[rest] ^ sig[k]].sum(axis=1, dtype=np.int64)) >= LEAST_ESTIMATE
-                for at in np.flatnonzero(good & near):
-                    other = cell[k + 1 + at]["set_id"]
-                    if other != r["leader"]:
-                        out_a.append(min(r["set_id"], other))
-                        out_b.append(max(r["set_id"], other))
-        return out_a, out_b
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "other")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    cell: list[dict] = []
+    at = None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (here := (r["key"], r["i"], r["j"])) != at:
+                if len(cell) > 1:
+                    yield cell
+                cell, at = [], here
+            cell.append(r)
+    if len(cell) > 1:
+        yield cell
+
+
+def _hopeful(rows: DataFrame) -> DataFrame:
+    """(key, rep) of the rows that have a promising partner in some cell of their bucket."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("rep", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: list[dict] = []
-        at = None
-        for batch in batches:
+        for cell in _by_cell(batches):
+            some = np.zeros(len(cell), bool)
+            for at in range(0, len(cell), 64):
+                found = _promising(cell, np.arange(at, min(at + 64, len(cell))))
+                some |= found.any(axis=0)
+                some[at : at + 64] |= found.any(axis=1)
+            reps = [cell[k]["rep"] for k in np.flatnonzero(some)]
+            yield pa.RecordBatch.from_arrays([pa.array([cell[0]["key"]] * len(reps), pa.int64()), pa.array(reps, pa.int64())], names=["key", "rep"])
+
+    return _cells(rows).mapInArrow(run, schema).distinct()
+
+
+def _links_in_cells(rows: DataFrame) -> DataFrame:
+    """Links between rows (with ``hashes``) that full sets confirm; of those within a cell, as many as connect what they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            sets = [np.frombuffer(r["hashes"], np.uint64) for r in cell]
+            up: dict[int, int] = {}
+
+            def root(x: int, up: dict[int, int] = up) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
             a, b = [], []
-            for r in batch.to_pylist():
-                if (here := (r["key"], r["i"], r["j"])) != at:
-                    if len(cell) > 1:
-                        x, y = pairs(cell)
-                        a += x
-                        b += y
-                    cell, at = [], here
-                cell.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=PAIRS.names)
-        if len(cell) > 1:
-            a, b = pairs(cell)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=PAIRS.names)
-
-    return dealt.mapInArrow(run, PAIRS).distinct()
+            for at in range(len(cell)):
+                for k in np.flatnonzero(_promising(cell, np.array([at]))[0]).tolist():
+                    x, y = root(cell[at]["label"]), root(cell[k]["label"])
+                    if x != y and _linked(sets[at], sets[k]):
+                        up[max(x, y)] = min(x, y)
+                        a.append(cell[at]["rep"])
+                        b.append(cell[k]["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=PAIRS.names)
+
+    return _cells(rows).mapInArrow(run, PAIRS).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,34 +324,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     feats = table(_features(docs), "features")
     some = feats.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = table(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-                    .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sig", "bands"), "classes")
-    rows = table(classes.select("set_id", F.explode("bands").alias("key")), "bands")
-    leaders = table(rows.groupBy("key").agg(F.min("set_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    sigs = classes.select("set_id", "sig")
-
-    star = rows.join(leaders, "key").where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    both = star.join(sigs.select(F.col("set_id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("set_id").alias("a"), F.col("sig").alias("sa")), "a")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]
+    classes = table(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), *firsts)
+                    .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "n_shingles", "sig", "bands"), "classes")
+    rows = classes.select("rep", F.explode("bands").alias("key"))
+    leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = table(rows.join(leaders, "key"), "members")  # most buckets have one member, and end here
+    sigs = classes.select("rep", "sig")
+
+    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    both = star.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     near = table(both.where(estimated("sa", "sb") >= LEAST_ESTIMATE).select("a", "b"), "near")
-    links = table(_confirm(near, classes, docs), "links")
-
-    ids = classes.select("set_id", F.col("rep").alias("label"))
-
-    def labelled(links: DataFrame, labels: DataFrame) -> DataFrame:
-        a = labels.select(F.col("set_id").alias("a"), F.col("label").alias("la"))
-        b = labels.select(F.col("set_id").alias("b"), F.col("label").alias("lb"))
-        roots = components(links.join(a, "a").join(b, "b").select("la", "lb"))
-        return table(join_sized(labels, roots, ["label"], "left").select("set_id", F.coalesce("root", "label").alias("label")), "labels")
-
-    labels = labelled(links, ids)
-    shared = rows.join(leaders, "key").join(labels, "set_id")
-    mixed = table(shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
-    rest = join_sized(shared, mixed, ["key"]).join(sigs, "set_id")
-    more = table(_cells(rest), "more")
-    if not more.isEmpty():
-        links = table(_confirm(more, classes, docs), "links")
-        labels = labelled(links, labels)
-
+    links = table(_confirm(near, classes, docs).select(F.col("a").alias("la"), F.col("b").alias("lb")), "links")
+    roots = table(components(links), "roots")  # of classes that have a link; the others are their own
+
+    own = join_sized(members, roots.withColumnRenamed("label", "rep"), ["rep"], "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+    mixed = table(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
+    rest = table(join_sized(own, mixed, ["key"]), "rest")
+    wide = rest.join(classes.select("rep", "sig", "bands", "n_shingles"), "rep")
+    hopeful = table(_hopeful(wide), "hopeful")
+    if not hopeful.isEmpty():
+        sets = _sets_of(hopeful.select("rep").distinct(), classes, docs)
+        left = rest.drop("n").join(hopeful, ["key", "rep"]).join(hopeful.groupBy("key").agg(F.count("*").alias("n")), "key")
+        more = _links_in_cells(left.join(classes.select("rep", "sig", "bands", "n_shingles"), "rep").join(sets, "rep"))
+        links = table(links.union(more), "links")
+        roots = table(components(links), "roots")
+
+    labels = table(join_sized(classes.select("set_id", "rep"), roots.withColumnRenamed("label", "rep"), ["rep"], "left").select("set_id", F.coalesce("root", "rep").alias("label")), "labels")
     out = join_sized(feats.select("doc_id", "th", "n_shingles", "set_id"), labels, ["set_id"], "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), F.col("doc_id"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
