@@ -132,6 +132,21 @@ def apply_map(raw: Column, spans: Column) -> Column:
     return F.concat(done["out"], raw.substr(done["at"] + 1, F.length(raw)))
 
 
+def source_offset(spans: Column, offset: Column) -> Column:
+    """Where in the raw text the character at ``offset`` of the text begins; what follows the map is copied."""
+    kind = "struct<src:int,dst:int,at:int>"
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(spans) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct(F.coalesce(F.get(spans, 2 * k), F.lit(0)).alias("s"), F.coalesce(F.get(spans, 2 * k + 1), F.lit(0)).alias("d")))
+
+    def step(a: Column, p: Column) -> Column:
+        inside = F.when(p["s"] == p["d"], a["src"] + offset - a["dst"]).otherwise(a["src"])
+        at = F.when(a["at"].isNull() & (offset < a["dst"] + p["d"]), inside).otherwise(a["at"])
+        return F.struct((a["src"] + p["s"]).alias("src"), (a["dst"] + p["d"]).alias("dst"), at.alias("at")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("src"), F.lit(0).alias("dst"), F.lit(None).cast("int").alias("at")).cast(kind)
+    done = F.aggregate(pairs, start, step)
+    return F.when(spans.isNull(), offset).otherwise(F.coalesce(done["at"], done["src"] + offset - done["dst"]))
+
+
 def utf16_offset(content: Column, offset: Column) -> Column:
     """An offset in code points as UTF-16 code units: one more for every earlier character above U+FFFF."""
     before = content.substr(F.lit(1), offset)

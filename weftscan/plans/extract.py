@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import source_offset
 from ..operators.extract import exploded, rows, run_scanner
+from ..operators.regex_scan import starts
 from ..schema import SEGMENT, SEGMENTS_DDL
 from .catalog import Parser, Plugin
 
@@ -75,18 +77,23 @@ def register_udtf(spark: SparkSession, name: str = "scan_segments") -> None:
 
 
 def words(segments: DataFrame) -> DataFrame:
-    """The words of segments with the segment's row: a first step of a spelling check."""
-    return segments.select("*", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}][\p{L}\p{M}'’]*"), F.lit(0))).alias("word"))
+    """The words of segments, each with its place in the segment's text: a first step of a spelling check."""
+    pieces = F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}'\u2019]*+|[^\p{L}]++"), F.lit(0))
+    cut = segments.withColumn("__p", pieces)
+    each = F.arrays_zip(F.col("__p").alias("word"), starts(F.transform("__p", F.length)).alias("offset"))
+    found = F.filter(each, lambda z: z["word"].rlike(r"^\p{L}"))
+    return cut.select(*segments.columns, F.explode(found).alias("__w")).select(*segments.columns, "__w.word", "__w.offset")
 
 
 def issues(files: DataFrame, segments: DataFrame, known: DataFrame) -> DataFrame:
-    """uri, text, row, col of words that ``known`` (word) lacks, where a segment's text is its source unchanged.
+    """uri, text, row, col of words that ``known`` (word) lacks; rows and columns count from 1, in code points.
 
-    Rows and columns count from 1. The word list is joined by its own size: no hint forces a broadcast.
+    Maps lead from a word in the normalised text back to its source. The word list is joined by its own size: no hint
+    forces a broadcast.
     """
-    place = words(segments.where(F.col("text") == F.coalesce("raw_text", "text"))).withColumn("w", F.lower("word"))
-    missing = place.join(known.select(F.lower("word").alias("w")).distinct(), "w", "left_anti")
+    missing = words(segments).withColumn("w", F.lower("word")).join(known.select(F.lower("word").alias("w")).distinct(), "w", "left_anti")
     at = missing.join(files.select("file_id", "content"), "file_id")
-    before: Column = F.col("content").substr(F.lit(1), F.col("start") + F.locate("word", "text") - 1) if False else F.substring_index(F.col("content").substr(F.lit(1), F.col("start")), "\n", -1)
-    row = F.length(F.regexp_replace(F.col("content").substr(F.lit(1), F.col("start")), "[^\n]", "")) + 1
-    return at.select(F.col("filename").alias("uri"), F.col("word").alias("text"), row.alias("row"), (F.length(before) + 1).alias("col")).orderBy("uri", "row", "col", "text")
+    before = F.col("content").substr(F.lit(1), F.col("start") + source_offset(F.col("map"), F.col("offset")))
+    row = F.length(F.regexp_replace(before, "[^\n]+", "")) + 1
+    found = at.select(F.col("filename").alias("uri"), F.col("word").alias("text"), row.alias("row"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
+    return found.orderBy("uri", "row", "col", "text")

@@ -1,15 +1,471 @@
-"""Queries of the segment engine by name, and the SQL that checks them."""
+"""Queries of the segment engine by name, and the SQL that checks them.
+
+The tables hold no program text, so scanners run on text made from ``part`` whose segments arithmetic foretells, and
+on the scripts of ``pages``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import tags as tag_functions
+from .functions import text as text_functions
+from .functions.tags import VOCABULARY, defaults, tag_set
+from .operators import filters, gaps, regex_scan
+from .operators.extract import exploded, scan
+from .plans import catalog, views
+from .plans.extract import extract, extract_union, issues, parsed
+from .plans.synthetic import Piece, around, code, expected, fragment, lit, marked, name, source
+from .sources.files import type_of
+
+NAME, TYPE, BRAND = "p_name", "p_type", "p_brand"
+KEY = "p_partkey"
+LINE, LINE_DOC, BLOCK, BLOCK_DOC = "comment.line", "comment.line.doc", "comment.block", "comment.block.doc"
+SINGLE, DOUBLE = "string.singleQuote", "string.doubleQuote"
+_NL = "\n"
+
+#: For each scanner the pieces of a made-up program.
+PROGRAMS: dict[str, list[Piece]] = {
+    "go": [
+        marked("// ", NAME, LINE), code(lit("\nvar x = ")), around('"', TYPE, '"', DOUBLE), code(lit(" ")), around("/* ", BRAND, " */", BLOCK), code(lit(" / 2\nvar y = ")),
+        around("`", f"{NAME} || {lit(chr(92) + _NL)}", "`", "string.raw"), code(lit("\n")), around("/** ", TYPE, " */", BLOCK_DOC), code(lit("\n")), around("'", lit("\\'"), "'", SINGLE), code(lit("\n")),
+    ],
+    "java": [
+        around("/** ", NAME, " */", BLOCK_DOC), code(lit("\nString a = ")), around('"""', f"{lit(_NL)} || {TYPE} || {lit(' ' + chr(34) + ' ')}", '"""', "string.textBlock"), code(lit("; char c = ")), around("'", lit("x"), "'", SINGLE),
+        code(lit("; int d = 4 / 2; ")), marked("// ", BRAND, LINE), code(lit("\nString e = ")), around('"', f"{NAME} || {lit(chr(92) + chr(34))}", '"', DOUBLE), code(lit(";")),
+    ],
+    "c-cpp": [
+        marked("/// ", NAME, LINE_DOC), code(lit("\nint n = 1'000'000; ")), marked("//! ", TYPE, LINE_DOC), code(lit("\nauto r = ")), around('R"x(', f"{BRAND} || {lit(')' + chr(34))}", ')x"', "string.raw"), code(lit(" + u8")),
+        around('"', NAME, '"', DOUBLE), code(lit("; ")), around("/* ", TYPE, " */", BLOCK), code(lit("\n")), around("'", lit("c"), "'", SINGLE), code(lit(";\n")), marked("// ", BRAND, LINE),
+    ],
+    "example": [code(lit('x = "// ') + f" || {NAME} || " + lit('"; ')), marked("// ", TYPE, LINE), code(lit("\ny = '/*'; ")), around("/* ", BRAND, " */", BLOCK), around("/** ", NAME, " */", BLOCK_DOC), code(lit("\n"))],
+    "csharp": [
+        marked("/// ", NAME, LINE_DOC), code(lit('\nvar a = $"')), fragment(f"{TYPE} || {lit(' {{')}", "string.interpolated"), code(lit("{ f(")), around('"', BRAND, '"', DOUBLE), code(lit(") }")), fragment(NAME, "string.interpolated"), code(lit('"; var b = ')),
+        around('@"', f"{TYPE} || {lit(chr(34) * 2)}", '"', "string.verbatim"), code(lit('; var c = $@"')), fragment(BRAND, "string.verbatim", "string.interpolated"), code(lit('{x}"; ')), around('"""', f"{NAME} || {lit(chr(34) + ' ')}", '"""', "string.raw"),
+    ],
+    "python": [
+        marked("# ", NAME, LINE), code(lit("\nx = ")), around("r'", f"{TYPE} || {lit(chr(92) + chr(39))}", "'", SINGLE, "string.raw"), code(lit(' + f"')), fragment(BRAND, DOUBLE, "string.interpolated"), code(lit("{y[")), around("'", NAME, "'", SINGLE), code(lit("]:>{w}}")),
+        fragment(f"{lit(' {{')} || {TYPE}", DOUBLE, "string.interpolated"), code(lit('"\n')), around('"""', f"{BRAND} || {lit(_NL)}", '"""', "string.tripleQuote"), code(lit("\nbar")),
+    ],
+    "ruby": [
+        marked("# ", NAME, LINE), code(lit("\nx = a / b; y = ")), around("'", TYPE, "'", SINGLE), code(lit(" + \"")), fragment(BRAND, DOUBLE), code(lit("#{ z }")), fragment(NAME, DOUBLE), code(lit("\"\nw = %w[it's]; puts <<~EOS\n")),
+        fragment(f"{lit('  ')} || {TYPE} || {lit(' ')}", "string.heredoc"), code(lit("#{q}")), fragment(f"{BRAND} || {lit(_NL)}", "string.heredoc"), code(lit("  EOS\nr = x =~ /'\"/i; ")),
+    ],
+    "rust": [
+        marked("//! ", NAME, LINE_DOC), code(lit("\nlet a: &'static str = ")), around('r#"', f"{TYPE} || {lit(chr(34))}", '"#', "string.raw"), code(lit("; let b = ")), around('b"', BRAND, '"', "string.byte"), code(lit("; let c = '\"'; ")),
+        around("/* ", f"{NAME} || {lit(' /* x */')}", " */", BLOCK), code(lit(" ")), around("/*! ", TYPE, " */", BLOCK_DOC), code(lit(" ")), around('c"', NAME, '"', "string.c"), code(lit(";")), around('"', BRAND, '"', "string"),
+    ],
+    "typescript": [
+        code(lit("import a from ")), around("'", f"{lit('./')} || {NAME}", "'", f"{SINGLE}.module", "module.specifier.literal"), code(lit("; const r = /['\"]/; const t = `")), fragment(TYPE, "string.templateLiteral"), code(lit("${ f(")), around('"', BRAND, '"', DOUBLE), code(lit(") }")),
+        fragment(NAME, "string.templateLiteral"), code(lit("`; new RegExp('it\\'s' ")), around("/* ", BRAND, " */", BLOCK), code(lit("); ")), marked("// ", TYPE, LINE),
+    ],
+    "php": [
+        fragment(f"{lit('<p>')} || {NAME} || {lit('</p>')}", "html"), code(lit("<?php ")), marked("// ", f"{TYPE} || {lit(' ')}", LINE), code(lit("?>")), fragment(BRAND, "html"), code(lit("<?php $a = ")), around('"', f"{NAME} || {lit(' {$b[' + chr(34) + 'k' + chr(34) + ']}')}", '"', DOUBLE), code(lit("; #[A]\n$c = ")),
+        Piece(f"{lit('<<<EOT' + _NL)} || {TYPE} || {lit(_NL + 'EOT')}", f"{TYPE} || {lit(_NL)}", f"'7,0,' || (length({TYPE}) + 1) || ',' || (length({TYPE}) + 1) || ',3,0'", tag_set("string.heredoc")), code(lit(";")), marked("# ", BRAND, LINE),
+    ],
+    "tree-typescript": [
+        code(lit("import { own as ")), name(lit("mine"), "importBinding"), code(lit(" } from ")), around("'", f"{lit('./')} || replace({NAME}, ' ', '-')", "'", f"{SINGLE}.module", "module.specifier.literal"), code(lit(";\nclass ")), name(f"{lit('C')} || replace({TYPE}, ' ', '')", "type"),
+        code(lit(" { ")), name(f"replace({NAME}, ' ', '_')", "property"), code(lit("(")), name(lit("p"), "variable"), code(lit(": ")), name(lit("T"), "type"), code(lit("): string { return ")), around('"', BRAND, '"', DOUBLE), code(lit("; } }\n")), marked("// ", TYPE, LINE),
+    ],
+    "tree-tsx": [
+        code(lit("const ")), name(lit("view"), "variable"), code(lit(" = <")), name(lit("p"), "variable"), code(lit(" ")), name(lit("title"), "property"), code(lit("=")), around('"', BRAND, '"', DOUBLE), code(lit(">")),
+        Piece(f"{NAME} || {lit('&amp;!')}", f"{NAME} || {lit('&!')}", f"length({NAME}) || ',' || length({NAME}) || ',5,1,1,1'", tag_set("jsx.text")), code(lit("{")), name(lit("value"), "variable"), code(lit("}</")), name(lit("p"), "variable"), code(lit(">;")),
+    ],
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def programs(spark: SparkSession, sf_dir: str, scanner: str) -> DataFrame:
+    """file_id, content: a program for each part."""
+    return _table(spark, sf_dir, "part").select(F.col(KEY).cast("long").alias("file_id"), F.expr(source(PROGRAMS[scanner])).alias("content"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Segments as plain columns: maps and tags as texts."""
+    return df.select(
+        "file_id", "pos", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", "raw_text",
+        F.array_join(F.transform("map", lambda v: v.cast("string")), ",").alias("map"), F.array_join("tags", " ").alias("tags"),
+    )
+
+
+def _scanned(scanner: str, native: bool = True, options: dict | None = None, every: bool = True):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        family = "syntax-tree" if scanner.startswith("tree-") else scanner
+        segments = scan(F.col("content"), scanner, native)
+        kept = segments if every else filters.filter_segments(segments, options, defaults(family))
+        return _flat(exploded(programs(spark, sf_dir, scanner), kept, ["file_id"]))
+
+    return query
+
+
+def _expected(scanner: str, keep=lambda tags: True) -> str:
+    return expected(PROGRAMS[scanner], "part", KEY, keep, code_raw=scanner == "php")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+def segments_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default segments of the Go programs by their own tag: how many, and how many characters of text."""
+    kept = filters.filter_segments(scan(F.col("content"), "go"), None, defaults("go"))
+    rows = exploded(programs(spark, sf_dir, "go"), kept, ["file_id"])
+    return rows.groupBy(F.element_at("tags", -1).alias("tag")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def tag_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the C programs by every tag they carry; the ancestors in a tag set make the levels."""
+    rows = exploded(programs(spark, sf_dir, "c-cpp"), scan(F.col("content"), "c-cpp"), ["file_id"])
+    return rows.select(F.explode("tags").alias("tag"), F.length("text").alias("chars")).groupBy("tag").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+
+
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps between the tagged segments of the Java programs, by a window over rows."""
+    files = programs(spark, sf_dir, "java")
+    tagged = F.filter(scan(F.col("content"), "java"), lambda s: ~F.array_contains(s["tags"], "code"))
+    return _flat(gaps.fill_rows(files, exploded(files, tagged, ["file_id"])))
+
+
+def gap_fill_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = programs(spark, sf_dir, "java")
+    tagged = F.filter(scan(F.col("content"), "java"), lambda s: ~F.array_contains(s["tags"], "code"))
+    return _flat(exploded(files, gaps.fill_array(tagged, F.col("content")), ["file_id"]))
+
+
+def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many programs each scanner's segments cover to the last character."""
+    out = None
+    for scanner in PROGRAMS:
+        files = programs(spark, sf_dir, scanner).withColumn("segments", scan(F.col("content"), scanner))
+        one = files.groupBy().agg(F.count("*").alias("n"), F.count(F.when(gaps.coverage(F.col("segments"), F.col("content")), 1)).alias("covered")).select(F.lit(scanner).alias("scanner"), "n", "covered")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def strip_block_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(f"{lit('/** ')} || {NAME} || {lit(_NL + ' * ')} || {TYPE} || {lit(_NL + ' */')}")
+    return _stripped(_table(spark, sf_dir, "part"), raw, text_functions.strip_comment)
+
+
+def strip_line_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stripped(_table(spark, sf_dir, "part"), F.expr(f"{lit('//')} || CASE WHEN {KEY} % 2 = 0 THEN ' ' ELSE '' END || {NAME}"), text_functions.strip_comment)
+
+
+def strip_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(f"{lit(chr(34))} || {NAME} || CASE WHEN {KEY} % 2 = 0 THEN {lit(chr(34))} ELSE '' END")
+    return _stripped(_table(spark, sf_dir, "part"), raw, lambda r: text_functions.strip_delimited(r, 1, 1, r.endswith('"')))
+
+
+def _stripped(df: DataFrame, raw, function) -> DataFrame:
+    d = df.select(F.col(KEY).alias("id"), raw.alias("raw")).withColumn("s", function(F.col("raw")))
+    spans = F.col("s.map")
+    return d.select("id", F.col("s.text").alias("text"), F.array_join(F.transform(spans, lambda v: v.cast("string")), ",").alias("map"))
+
+
+def apply_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps replayed over their comments give the stripped texts."""
+    raw = F.expr(f"{lit('/* ')} || {NAME} || {lit(_NL + '  * ')} || {BRAND} || {lit(' */')}")
+    d = _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), raw.alias("raw")).withColumn("s", text_functions.strip_comment(F.col("raw")))
+    return d.select("id", text_functions.apply_map(F.col("raw"), F.col("s.map")).alias("text"))
+
+
+def decode_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes between parts of a text: simple, hexadecimal, by code point, octal, unknown, continued lines."""
+    escapes = ["\\n", "\\x41", "\\u00e9", "\\u{1F600}", "\\012", "\\q", "\\\n", "\\u{110000}", "\\$"]
+    part = lambda e, special: F.struct(e.alias("text"), F.lit(special).alias("is_escape"))
+    parts = F.array(*[x for e in escapes for x in (part(F.col(NAME), False), part(F.lit(e), True))])
+    d = _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), text_functions.decode_parts(parts).alias("s"))
+    return d.select("id", F.col("s.text").alias("text"), F.array_join(F.transform("s.map", lambda v: v.cast("string")), ",").alias("map"))
+
+
+def decode_entities_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foot = F.regexp_extract("html", "<footer>([^<]*)</footer>", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", text_functions.decode_html_text(foot)["text"].alias("text"))
+
+
+def entity_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("&[A-Za-z]+;"), F.lit(0))).alias("entity"))
+    return found.groupBy("entity").agg(F.count("*").alias("n")).select("entity", text_functions.decode_reference(F.col("entity")).alias("character"), "n")
+
+
+def script_strings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String literals in the scripts of pages."""
+    scripts = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("content").cast("string"))
+    # a literal that holds a closing tag does not end the script here: the pattern stops at the script's own
+    kept = filters.filter_segments(scan(F.col("content"), "typescript"), {"*": False, "string": True}, defaults("typescript"))
+    rows = exploded(scripts, kept, ["page_id"])
+    return rows.select("page_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", F.array_join("tags", " ").alias("tags"))
+
+
+def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("\U0001f600"), F.col(NAME), F.lit("é\U0001f600!"))
+    return _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), text_functions.utf16_offset(text, F.length(text)).alias("utf16"), text_functions.utf16_offset(text, F.lit(1)).alias("first"))
+
+
+def escape_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), text_functions.escape_regex(F.concat(F.col(BRAND), F.lit("*(a.b)"))).alias("text"))
+
+
+def wrap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array(F.lit("aaaa"), F.col(TYPE), F.lit("bb"), F.col(NAME))
+    return _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), text_functions.wrap_list(items, 14).alias("text"))
+
+
+def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.col(NAME), F.when(F.col(KEY) % 3 == 0, ",").when(F.col(KEY) % 3 == 1, '"').otherwise(""))
+    return _table(spark, sf_dir, "part").select(F.col(KEY).alias("id"), text_functions.csv_field(value).alias("field"))
+
+
+def _parsers(spark: SparkSession) -> DataFrame:
+    return catalog.STRINGS_COMMENTS.customize().add_parser(catalog.EXAMPLE.parsers[0]).build().to_df(spark)
+
+
+_ALL = catalog.STRINGS_COMMENTS.parsers + catalog.EXAMPLE.parsers
+_ROWS = _values([(k, p.name, p.scanner) for k, p in enumerate(_ALL)], "ordinal, name, scanner")
+_TYPE_ROWS = _values([(k, p.name, j, t) for k, p in enumerate(_ALL) for j, t in enumerate(p.file_types)], "ordinal, name, type_ordinal, file_type")
+_SERVING = f"SELECT file_type, arg_max(name, ordinal) AS parser FROM {_TYPE_ROWS} GROUP BY file_type"
+
+
+def _names(spark: SparkSession, column: str, *values: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """A parsers table with its types and rules as texts."""
+    rules = F.array_join(F.array_sort(F.transform(F.map_entries("filter"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
+    return df.select("ordinal", "name", F.array_join("file_types", ",").alias("file_types"), F.coalesce(rules, F.lit("")).alias("filter"))
+
+
+def _shown_sql(change: str = "", more: str = "") -> str:
+    base = f"SELECT ordinal, name, string_agg(file_type, ',' ORDER BY type_ordinal) AS file_types, '' AS filter FROM {_TYPE_ROWS} {change} GROUP BY ordinal, name"
+    return f"SELECT CAST(ordinal AS INTEGER) AS ordinal, name, file_types, filter FROM ({base} {more})"
+
+
+_LAST = len(_ALL)
+_USER = [(0, "go,java", "mine"), (1, "java", "theirs")]
+
+
+def _define_config(spark: SparkSession) -> DataFrame:
+    own = spark.createDataFrame(_USER, "ordinal int, language_id string, parser string")
+    return views.define_config(views.language_settings(_parsers(spark)), own)
+
+
+_SETTINGS = f"SELECT t.ordinal, string_agg(t.file_type, ',' ORDER BY t.type_ordinal) AS language_id, t.name AS parser FROM {_TYPE_ROWS.replace('AS v(', 'AS t(')} JOIN ({_SERVING}) s ON s.file_type = t.file_type AND s.parser = t.name GROUP BY t.ordinal, t.name"
+
+
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named after parts, routed to the parser of their type."""
+    ending = F.element_at(F.array(*map(F.lit, ["go", "py", "rs", "txt", "h"])), (F.col(KEY) % 5 + 1).cast("int"))
+    files = _table(spark, sf_dir, "part").select(F.col(KEY).cast("long").alias("file_id"), F.concat(F.lit("src/f"), F.col(KEY), F.lit("."), ending).alias("filename"))
+    typed = files.withColumn("file_type", type_of(F.col("filename")))
+    return views.route(typed, F.broadcast(views.serving(_parsers(spark)))).select("file_id", "filename", "file_type", "parser")
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [(programs(spark, sf_dir, s), t) for s, t in (("go", "go"), ("java", "java"), ("python", "python"), ("rust", "rust"))]
+    out = None
+    for k, (df, kind) in enumerate(made):
+        one = df.select((F.col("file_id") * 4 + k).alias("file_id"), F.lit(f"f.{kind}").alias("filename"), F.lit(kind).alias("file_type"), "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def bundle_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of four languages through the bundle's parsers with their default rules, counted by parser and tag."""
+    rows = extract(_mixed_files(spark, sf_dir), catalog.STRINGS_COMMENTS)
+    return rows.groupBy("parser", F.element_at("tags", -1).alias("tag")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def bundle_extract_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_union(_mixed_files(spark, sf_dir), catalog.STRINGS_COMMENTS)
+    return rows.groupBy("parser", F.element_at("tags", -1).alias("tag")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def custom_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own parser, a function of a column, added to a plugin: it takes the lines of a text as comments."""
+    def lines(content):
+        cut = F.split(content, " ", -1)
+        return F.transform(cut, lambda w, k: F.struct(k.alias("pos"), k.alias("start"), (k + 1).alias("end"), w.alias("text"), w.alias("raw_text"), F.lit(None).cast("array<int>").alias("map"), F.array(F.lit("comment")).alias("tags")))
+
+    plugin = catalog.STRINGS_COMMENTS.customize().add_parser(catalog.Parser("words", lines, ("words",), {"comment": True})).build()
+    files = _table(spark, sf_dir, "part").select(F.col(KEY).cast("long").alias("file_id"), F.lit("f").alias("filename"), F.lit("words").alias("file_type"), F.col(NAME).alias("content"))
+    return parsed(files, plugin).select("file_id", "parser", F.array_join(F.transform("segments", lambda s: s["text"]), "|").alias("texts"))
+
+
+def issues_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the Go programs' comments and strings that are no names of parts, in order of place."""
+    files = programs(spark, sf_dir, "go").select("file_id", F.format_string("src/%06d.go", "file_id").alias("filename"), F.lit("go").alias("file_type"), "content")
+    known = _table(spark, sf_dir, "part").select(F.explode(F.split(NAME, " ")).alias("word"))
+    segments = extract(files, catalog.STRINGS_COMMENTS).where(F.array_contains("tags", "string.doubleQuote"))
+    return issues(files, segments, known)
+
+
+FILTERS = {
+    "tag_filter_default": (None, lambda tags: "code" not in tags),
+    "tag_filter_doc_only": ({"*": False, "*.doc": True}, lambda tags: any(t.endswith(".doc") for t in tags)),
+    "tag_filter_wildcards": ({"*": False, "comment.*": True, "comment": False, "string": True, "string.raw": False}, lambda tags: ("comment" in tags and len(tags) > 1) or ("string" in tags and "string.raw" not in tags)),
+    "tag_filter_everything": ({"*": True}, lambda tags: True),
+}
+
+
+def _keys(scanner: str) -> dict[str, bool]:
+    """Names of a scanner's queries, and whether each runs as built-in functions: regular languages have both forms."""
+    plain = scanner.removeprefix("tree-").replace("-", "_")
+    if scanner.startswith("tree-"):
+        return {f"walk_{plain}_segments": False}
+    native = scanner in regex_scan.FAMILIES
+    return {f"t1_{plain}_segments": True, f"t2_{plain}_segments": False} if native else {f"t2_{plain}_segments": False}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable] = {"segments_by_tag": segments_by_tag}
+    for scanner in PROGRAMS:
+        for key, native in _keys(scanner).items():
+            out[key] = _scanned(scanner, native)
+    for key, (options, _) in FILTERS.items():
+        out[key] = _scanned("c-cpp", options=options, every=False)
+    for f in (tag_rollup, gap_fill, gap_fill_array, coverage_check, strip_block_comment, strip_line_comment, strip_delimited, apply_map, decode_escapes, decode_entities_pages, entity_counts_pages, script_strings_pages,
+              utf16_offsets, escape_regex, wrap_lists, csv_fields, route_files, bundle_extract, bundle_extract_union, custom_parser, issues_sorted):
+        out[f.__name__] = f
+    catalogue = {
+        "tag_catalog": lambda s: tag_functions.catalog(s).select("family", "ordinal", "tag", "default_on"),
+        "tag_ancestors": lambda s: tag_functions.catalog(s).select("tag").distinct().select("tag", F.array_join(tag_functions.hierarchical_tags(F.col("tag")), " ").alias("ancestors"), tag_functions.first_segment(F.col("tag")).alias("first")),
+        "plugin_names": lambda s: views.names(_parsers(s)),
+        "plugin_name_check": lambda s: views.check_names(_parsers(s).unionByName(_parsers(s).where("ordinal < 2"))),
+        "supported_file_types": lambda s: views.supported_file_types(_parsers(s)),
+        "get_parser": lambda s: views.parser(_parsers(s), "rust-strings-comments").select("ordinal", "name", "scanner"),
+        "parser_names_for": lambda s: views.names_for(_parsers(s), "java"),
+        "last_parser_wins": lambda s: views.serving(_parsers(s)),
+        "language_settings": lambda s: views.language_settings(_parsers(s)),
+        "language_settings_for": lambda s: views.language_settings(_parsers(s), _names(s, "name", "go-strings-comments", "c-style-comments", "c-cpp-strings-comments")),
+        "language_settings_for_type": lambda s: views.language_settings_for_types(_parsers(s), s.createDataFrame([(0, "java"), (1, "go"), (2, "c")], "request_ordinal int, file_type string")),
+        "resolve_target": lambda s: views.resolve(_parsers(s), _names(s, "name", "go-strings-comments", "nobody")).select("name").union(views.unknown(_parsers(s), _names(s, "name", "go-strings-comments", "nobody"))),
+        "unknown_file_types": lambda s: views.unknown_types(_parsers(s), _names(s, "file_type", "go", "cobol")),
+        "duplicate_parser": lambda s: _shown(views.duplicate(_parsers(s), "go-strings-comments", "go2")),
+        "rename_parser": lambda s: _shown(views.rename(_parsers(s), "go-strings-comments", "golang")),
+        "remove_parser": lambda s: _shown(views.remove(_parsers(s), _names(s, "name", "go-strings-comments"))),
+        "set_file_types": lambda s: _shown(views.set_types(_parsers(s), "go-strings-comments", ["go", "gomod", "go"])),
+        "add_file_types": lambda s: _shown(views.add_types(_parsers(s), "go-strings-comments", ["go", "gomod"])),
+        "remove_file_types": lambda s: _shown(views.remove_types(_parsers(s), "*", ["c", "java"])),
+        "filter_tags": lambda s: _shown(views.set_filter(_parsers(s), "go-strings-comments", {"*": False, "comment": True})),
+        "filter_tags_for_file_type": lambda s: _shown(views.filter_for_type(_parsers(s), "java", {"*": False, "comment": True}, "java-docs")),
+        "define_config_union": _define_config,
+        "define_config_effective": lambda s: views.effective(_define_config(s)),
+        "registered_last_wins": lambda s: views.registered(views.append(_parsers(s), _parsers(s).where("ordinal < 3").withColumn("scanner", F.lit("late")))),
+        "bundle_union": lambda s: views.bundle(s).select("ordinal", "name"),
+        "subset_plugin": lambda s: catalog.JAVASCRIPT.to_df(s).select("plugin", "ordinal", "name"),
+        "reexport_plugin": lambda s: catalog.TYPESCRIPT.to_df(s).select("plugin", "ordinal", "name"),
+        "merge_bundled_tags": lambda s: views.merge_tags(views.bundled_tags(s)).select("tag", "meaning", F.array_join("languages", ",").alias("languages")),
+        "all_tags_table": lambda s: views.tags_table(views.merge_tags(views.bundled_tags(s)), 13, 1000),
+        "language_id_recommended": lambda s: views.language_ids(_parsers(s)),
+        "packages_table": lambda s: views.packages(s),
+    }
+    return out | {k: (lambda spark, sf_dir, f=f: f(spark)) for k, f in catalogue.items()}
+
+
+def _grouped(scanner: str, keep, parser: str | None = None) -> str:
+    rows = f"SELECT list_extract(string_split(tags, ' '), -1) AS tag, text FROM ({_expected(scanner, keep)})"
+    lead = f"'{parser}' AS parser, " if parser else ""
+    return f"SELECT {lead}tag, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({rows}) GROUP BY tag"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    on = lambda tags: "code" not in tags and "html" not in tags
+    out = {"segments_by_tag": _grouped("go", on)}
+    for scanner in PROGRAMS:
+        out |= dict.fromkeys(_keys(scanner), _expected(scanner))
+    for key, (_, keep) in FILTERS.items():
+        out[key] = _expected("c-cpp", keep)
+    every = f"SELECT unnest(string_split(tags, ' ')) AS tag, text FROM ({_expected('c-cpp')})"
+    out["tag_rollup"] = f"SELECT tag, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({every}) GROUP BY tag"
+    out["gap_fill"] = out["gap_fill_array"] = _expected("java")
+    out["coverage_check"] = " UNION ALL ".join(f"SELECT '{s}' AS scanner, count(*) AS n, count(*) AS covered FROM part" for s in PROGRAMS)
+    n, m = f"length({NAME})", f"length({TYPE})"
+    out["strip_block_comment"] = f"SELECT {KEY} AS id, {NAME} || chr(10) || {TYPE} || chr(10) AS text, '4,0,' || {n} || ',' || {n} || ',1,1,3,0,' || {m} || ',' || {m} || ',1,1,3,0' AS map FROM part"
+    out["strip_line_comment"] = f"SELECT {KEY} AS id, {NAME} AS text, CASE WHEN {KEY} % 2 = 0 THEN '3,0' ELSE '2,0' END AS map FROM part"
+    out["strip_delimited"] = f"SELECT {KEY} AS id, {NAME} AS text, '1,0,' || {n} || ',' || {n} || CASE WHEN {KEY} % 2 = 0 THEN ',1,0' ELSE '' END AS map FROM part"
+    out["apply_map"] = f"SELECT {KEY} AS id, {NAME} || chr(10) || {BRAND} AS text FROM part"
+    decoded = ["chr(10)", "'A'", "chr(233)", "chr(128512)", "'012'", "'q'", "''", "'u{110000}'", "'$'"]
+    spans = ["2,1", "4,1", "6,1", "9,1", "4,3", "2,1", "2,0", "10,9", "2,1"]
+    out["decode_escapes"] = f"SELECT {KEY} AS id, {' || '.join(f'{NAME} || {d}' for d in decoded)} AS text, " + " || ',' || ".join(f"{n} || ',' || {n} || ',{s}'" for s in spans) + " AS map FROM part"
+    foot = "regexp_extract(html, '<footer>([^<]*)</footer>', 1)"
+    out["decode_entities_pages"] = f"SELECT page_id, replace(replace(replace({foot}, '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS text FROM pages"
+    found = "SELECT unnest(regexp_extract_all(html, '&[A-Za-z]+;')) AS entity FROM pages"
+    out["entity_counts_pages"] = f"SELECT entity, CASE entity WHEN '&copy;' THEN chr(169) WHEN '&middot;' THEN chr(183) WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN chr(34) ELSE entity END AS character, count(*) AS n FROM ({found}) GROUP BY entity"
+    out["script_strings_pages"] = f"SELECT page_id, CAST(6 AS INTEGER) AS start_at, CAST(12 AS INTEGER) AS end_at, '</p>' AS text, '{' '.join(tag_set(DOUBLE))}' AS tags FROM pages WHERE html LIKE '%<script>var t=\"</p>\";%'"
+    out["utf16_offsets"] = f"SELECT {KEY} AS id, CAST({n} + 6 AS INTEGER) AS utf16, CAST(2 AS INTEGER) AS first FROM part"
+    out["escape_regex"] = f"SELECT {KEY} AS id, {BRAND} || chr(92) || '*' || chr(92) || '(a' || chr(92) || '.b' || chr(92) || ')' AS text FROM part"
+    one = f"'aaaa, ' || {TYPE}"
+    step1 = f"CASE WHEN length({one}) > 14 THEN 'aaaa<br>' || {TYPE} ELSE {one} END"
+    tail = lambda x: f"list_extract(string_split({x}, '<br>'), -1)"
+    grow = lambda x, item: f"CASE WHEN length({tail(x)}) + 2 + length({item}) > 14 THEN {x} || '<br>' || {item} ELSE {x} || ', ' || {item} END"
+    out["wrap_lists"] = f"SELECT id, {grow('b', 'p_name')} AS text FROM (SELECT id, p_name, {grow('a', chr(39) + 'bb' + chr(39))} AS b FROM (SELECT {KEY} AS id, p_name, {step1} AS a FROM part))"
+    out["csv_fields"] = f"SELECT {KEY} AS id, CASE WHEN {KEY} % 3 = 0 THEN chr(34) || {NAME} || ',' || chr(34) WHEN {KEY} % 3 = 1 THEN chr(34) || {NAME} || chr(34) || chr(34) || chr(34) ELSE {NAME} END AS field FROM part"
+    kinds = _values([(0, "go", "go"), (1, "py", "python"), (2, "rs", "rust"), (3, "txt", None), (4, "h", "c")], "k, ending, file_type")
+    out["route_files"] = f"SELECT CAST({KEY} AS BIGINT) AS file_id, 'src/f' || {KEY} || '.' || v.ending AS filename, v.file_type, s.parser FROM part JOIN {kinds} ON v.k = {KEY} % 5 LEFT JOIN ({_SERVING.replace('AS v(', 'AS w(')}) s ON s.file_type = v.file_type"
+    out["bundle_extract"] = out["bundle_extract_union"] = " UNION ALL ".join(_grouped(s, on, f"{s}-strings-comments") for s in ("go", "java", "python", "rust"))
+    out["custom_parser"] = f"SELECT CAST({KEY} AS BIGINT) AS file_id, 'words' AS parser, replace({NAME}, ' ', '|') AS texts FROM part"
+    out["issues_sorted"] = (
+        f"SELECT 'src/' || lpad(CAST({KEY} AS VARCHAR), 6, '0') || '.go' AS uri, {TYPE} AS text, CAST(2 AS INTEGER) AS row, CAST(10 AS INTEGER) AS col FROM part "
+        f"WHERE lower({TYPE}) NOT IN (SELECT unnest(string_split({NAME}, ' ')) FROM part)"
+    )
+    out |= _catalogue_sql()
+    return out
+
+
+def _catalogue_sql() -> dict[str, str]:
+    every = [(f, k, t, t not in tag_functions.OFF_BY_DEFAULT) for f, tags in VOCABULARY.items() for k, t in enumerate(tags)]
+    tags = _values(every, "family, ordinal, tag, default_on")
+    up = lambda k: f"array_to_string(list_slice(string_split(tag, '.'), 1, {k}), '.')"
+    n = "len(string_split(tag, '.'))"
+    types = _TYPE_ROWS
+    bundled = _values([(t, tag_functions.meaning(f, t), lang) for f, p in catalog.SINGLE.items() for t in VOCABULARY[f] for lang in p.supported_file_types], "tag, meaning, language")
+    merged = f"SELECT tag, meaning, string_agg(language, ',' ORDER BY language) AS languages, count(*) AS n FROM (SELECT DISTINCT tag, meaning, language FROM {bundled}) GROUP BY tag, meaning"
+    ticked = f"SELECT tag, meaning, string_agg('`' || language || '`', ', ' ORDER BY language) AS languages, count(*) AS n FROM (SELECT DISTINCT tag, meaning, language FROM {bundled}) GROUP BY tag, meaning"
+    field = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN chr(34) || replace({x}, chr(34), chr(34) || chr(34)) || chr(34) ELSE {x} END"
+    flat = _values([(p.name, lang, t, t not in tag_functions.OFF_BY_DEFAULT) for f, p in catalog.SINGLE.items() for q in p.parsers for lang in q.file_types for t in VOCABULARY[f]], "package, language, tag, default_on")
+    go = [k for k, p in enumerate(_ALL) if p.name == "go-strings-comments"][0]
+    whole = "CAST(ordinal AS INTEGER) AS ordinal"
+    rows = lambda data, cols: f"SELECT * FROM {_values(data, cols)}"
+    config = f"SELECT 0 AS src, ordinal, language_id, parser FROM ({_SETTINGS}) UNION ALL SELECT 1, ordinal, language_id, parser FROM {_values(_USER, 'ordinal, language_id, parser')}"
+    numbered = f"SELECT CAST(row_number() OVER (ORDER BY src, ordinal) - 1 AS INTEGER) AS ordinal, language_id, parser FROM ({config})"
+    return {
+        "tag_catalog": f"SELECT family, {whole}, tag, default_on FROM {tags}",
+        "tag_ancestors": f"SELECT DISTINCT tag, CASE {n} WHEN 1 THEN tag WHEN 2 THEN {up(1)} || ' ' || tag ELSE {up(1)} || ' ' || {up(2)} || ' ' || tag END AS ancestors, {up(1)} AS first FROM {tags}",
+        "plugin_names": f"SELECT {whole}, name FROM {_ROWS}",
+        "plugin_name_check": f"SELECT name, CAST(2 AS BIGINT) AS n FROM {_ROWS} WHERE ordinal < 2",
+        "supported_file_types": f"SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS position, file_type FROM (SELECT file_type, min(ordinal) AS a, min(type_ordinal) AS b FROM {types} GROUP BY file_type)",
+        "get_parser": f"SELECT {whole}, name, scanner FROM {_ROWS} WHERE name = 'rust-strings-comments'",
+        "parser_names_for": f"SELECT {whole}, name FROM {types} WHERE file_type = 'java'",
+        "last_parser_wins": _SERVING,
+        "language_settings": f"SELECT {whole}, language_id, parser FROM ({_SETTINGS})",
+        "language_settings_for": rows([(2, "go", "go-strings-comments"), (len(_ALL) - 1, "c,cpp,csharp,java,javascript,typescript", "c-style-comments")], "ordinal, language_id, parser"),
+        "language_settings_for_type": rows([(2, "go", "go-strings-comments"), (len(_ALL) - 1, "java,c", "c-style-comments")], "ordinal, language_id, parser"),
+        "resolve_target": rows([("go-strings-comments",), ("nobody",)], "name"),
+        "unknown_file_types": rows([("cobol",)], "file_type"),
+        "duplicate_parser": _shown_sql(more=f"UNION ALL SELECT {_LAST}, 'go2', 'go', ''"),
+        "rename_parser": f"SELECT ordinal, CASE name WHEN 'go-strings-comments' THEN 'golang' ELSE name END AS name, file_types, filter FROM ({_shown_sql()})",
+        "remove_parser": _shown_sql(change="WHERE name <> 'go-strings-comments'"),
+        "set_file_types": _shown_sql(change=f"WHERE ordinal <> {go}", more=f"UNION ALL SELECT {go}, 'go-strings-comments', 'go,gomod', ''"),
+        "add_file_types": _shown_sql(change=f"WHERE ordinal <> {go}", more=f"UNION ALL SELECT {go}, 'go-strings-comments', 'go,gomod', ''"),
+        "remove_file_types": f"SELECT a.ordinal, a.name, coalesce(b.file_types, '') AS file_types, '' AS filter FROM ({_shown_sql()}) a LEFT JOIN ({_shown_sql(change=chr(32) + 'WHERE file_type NOT IN (' + chr(39) + 'c' + chr(39) + ',' + chr(39) + 'java' + chr(39) + ')')}) b ON a.ordinal = b.ordinal",
+        "filter_tags": f"SELECT ordinal, name, file_types, CASE name WHEN 'go-strings-comments' THEN '*=false;comment=true' ELSE '' END AS filter FROM ({_shown_sql()})",
+        "filter_tags_for_file_type": _shown_sql(more=f"UNION ALL SELECT {_LAST}, 'java-docs', 'java', '*=false;comment=true'"),
+        "define_config_union": numbered,
+        "define_config_effective": f"SELECT file_type, arg_max(parser, ordinal) AS parser FROM (SELECT ordinal, unnest(string_split(language_id, ',')) AS file_type, parser FROM ({numbered})) GROUP BY file_type",
+        "registered_last_wins": f"SELECT name, CASE WHEN ordinal < 3 THEN 'late' ELSE scanner END AS scanner FROM {_ROWS}",
+        "bundle_union": f"SELECT {whole}, name FROM {_ROWS} WHERE name <> 'c-style-comments'",
+        "subset_plugin": rows([("javascript", 0, "javascript"), ("javascript", 1, "javascriptreact")], "plugin, ordinal, name"),
+        "reexport_plugin": rows([("typescript", k, t) for k, t in enumerate(["javascript", "javascriptreact", "typescript", "typescriptreact"])], "plugin, ordinal, name"),
+        "merge_bundled_tags": f"SELECT tag, meaning, languages FROM ({merged})",
+        "all_tags_table": f"SELECT '`' || tag || '`' AS tag, {field('meaning')} AS meaning, {field('l')} AS languages FROM (SELECT tag, meaning, CASE WHEN n = 13 THEN 'all' ELSE languages END AS l FROM ({ticked}))",
+        "language_id_recommended": f"SELECT file_type AS language_id, name AS parser, CASE WHEN row_number() OVER (PARTITION BY file_type ORDER BY ordinal DESC) = 1 THEN 'yes' ELSE '' END AS recommended FROM {types}",
+        "packages_table": f"SELECT a.package, a.languages, b.tags FROM (SELECT package, string_agg(language, ',' ORDER BY language) AS languages FROM (SELECT DISTINCT package, language FROM {flat}) GROUP BY package) a JOIN (SELECT package, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT package, list_extract(string_split(tag, '.'), 1) AS tag FROM {flat} WHERE default_on) GROUP BY package) b ON a.package = b.package",
+    }
