@@ -12,20 +12,28 @@ EXTENSIONS = {
 }
 
 
-def read_tree(spark: SparkSession, path: str, glob: str | None = None, extensions: dict[str, str] | None = None) -> DataFrame:
-    """All files below ``path`` as (file_id, filename, file_type, content), each a row; ids are hashes of the names."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+def read_tree(spark: SparkSession, path: str, glob: str | None = None, charset: str = "UTF-8", extensions: dict[str, str] | None = None) -> DataFrame:
+    """All files below ``path`` as (file_id, filename, file_type, content), each a row; ids are hashes of the names.
+
+    They are read as bytes and decoded, as the text source drops a last line end.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return as_files(reader.text(path).withColumn("filename", F.input_file_name()).withColumnRenamed("value", "content"), extensions=extensions)
+    return from_binary(reader.load(path), charset, extensions)
 
 
-def read_binary(spark: SparkSession, path: str, charset: str = "UTF-8", extensions: dict[str, str] | None = None) -> DataFrame:
-    """The same from the binary source, decoded from ``charset``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def from_binary(raw: DataFrame, charset: str = "UTF-8", extensions: dict[str, str] | None = None) -> DataFrame:
+    """Files from rows of the binary source, of a batch or a stream."""
     return as_files(raw.select(F.col("path").alias("filename"), F.decode("content", charset).alias("content")), extensions=extensions)
 
 
+def read_text(spark: SparkSession, path: str, extensions: dict[str, str] | None = None) -> DataFrame:
+    """The same by the text source in whole files, without their last line end."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    return as_files(raw.withColumn("filename", F.input_file_name()).withColumnRenamed("value", "content"), extensions=extensions)
+
+
 def as_files(df: DataFrame, content: str = "content", filename: str = "filename", file_type: str | None = None, extensions: dict[str, str] | None = None) -> DataFrame:
     """Any table with a text column as files; without ``file_type`` the name's extension tells it."""
     kind = F.col(file_type) if file_type else type_of(F.col(filename), extensions)
