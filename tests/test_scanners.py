@@ -97,7 +97,7 @@ def test_php():
 def test_ruby():
     assert own("ruby", "<<~A\n x #{b + 'c'} y\n A\n'd'") == [(" x ", "string.heredoc"), ("c", "string.singleQuote"), (" y\n", "string.heredoc"), ("d", "string.singleQuote")]
     assert own("ruby", "a = b / c; d = \"e\"; f =~ /'/; g 'h'") == [("e", "string.doubleQuote"), ("h", "string.singleQuote")]
-    assert own("ruby", "=begin x\nbody\n=end tail\n%w[it's (a)] ?' `l #{m}`") == [("body\n", "comment.block"), ("l ", "string.backtick")]
+    assert own("ruby", "=begin x\nbody\n=end tail\n%w[it's (a)]; ?' `l #{m}`") == [("body\n", "comment.block"), ("l ", "string.backtick")]
     assert own("ruby", "x << 'a'\r\ny <<-'Q'\r\n z\r\n Q\r\n'b'")[-1] == ("b", "string.singleQuote")
 
 
