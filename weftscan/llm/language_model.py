@@ -41,10 +41,9 @@ HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 M = 100.0
 #: Steps of a code in a factor of ten; steps of the quantised word probability.
 CODE_STEPS, WORD_STEPS = 24, 512
-WORD_CACHE = 1 << 20
 
 _U = np.uint64
-_END, _START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" start")  # no word holds a blank
+_START = xxhash.xxh3_64_intdigest(b" start")  # no word holds a blank
 
 
 class EliasFano:
@@ -203,7 +202,6 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        cache: dict[bytes, int] = {}
         ids: list = []
         parts: list[np.ndarray] = []
         size = 0
@@ -221,18 +219,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
         arrow = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("n_train", pa.int64()), *[(c, pa.binary()) for c in ("held", "lengths", "words", "tokens")]])
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashed = []
-                for w in (text or b"").lower().split():
-                    h = cache.get(w)
-                    if h is None:
-                        if len(cache) > WORD_CACHE:
-                            cache.clear()
-                        h = cache[w] = xxhash.xxh3_64_intdigest(w)
-                    hashed.append(h)
-                hashed.append(_END)
+                words = (text or b"").lower().split()
+                words.append(b" end")  # no word holds a blank
                 ids.append(doc)
-                parts.append(np.array(hashed, np.uint64))
-                size += len(hashed)
+                parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+                size += len(words)
                 if size >= CHUNK_TOKENS:
                     yield flush()
                     made, size = made + 1, 0

@@ -41,8 +41,6 @@ BITS = 4
 LEAST_ESTIMATE = 0.5
 #: Rows in one block of a bucket's triangular cells.
 BLOCK = 256
-#: Hashes of words that a task remembers.
-WORD_CACHE = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -58,21 +56,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: bytes | None, cache: dict[bytes, int]) -> np.ndarray:
+def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles of a text in UTF-8; of its whole word sequence if that is shorter."""
     words = (text or b"").lower().split()  # of bytes: A-Z alone, and ASCII white space alone
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    hashed = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        hashed.append(h)
-    h = np.array(hashed, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     size = min(n, SHINGLE)
     total = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
@@ -127,11 +117,10 @@ def _features(docs: DataFrame) -> DataFrame:
     narrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
-                s = shingles(text, cache)
+                s = shingles(text)
                 if len(s):
                     least = minima(s)
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(least), band_keys(least)))
@@ -147,9 +136,8 @@ def _sets(texts: DataFrame) -> DataFrame:
     """set_id and sorted hashes of some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            found = [shingles(x, cache) for x in batch.column(0).to_pylist()]
+            found = [shingles(x) for x in batch.column(0).to_pylist()]
             found = [s.tobytes() for s in found if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=SETS.names)
 

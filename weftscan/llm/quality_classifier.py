@@ -22,6 +22,8 @@ PASSAGE_BYTES = 384
 SAMPLE_ROWS = 4000
 HELD_OUT_MOD = 5
 THRESHOLD = 0.3
+#: Bytes of text that are scored together.
+GROUP_BYTES = 1 << 18
 HASHED = 48
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BAG_BATCH, RATE = 12, 64, 0.01
@@ -137,10 +139,16 @@ def train(texts: list[bytes | None], labels: list[int], seed: int = 0) -> Model:
 
 
 def score_texts(m: Model, texts: list[bytes | None]) -> np.ndarray:
-    if not texts:
-        return np.empty(0)
-    x, per = passages(texts)
-    return forward(m, np.clip((x - m["mean"]) / m["scale"], -8, 8), per)[0]
+    out, at = [], 0
+    while at < len(texts):  # some of them at a time, so that memory does not follow the batch
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < GROUP_BYTES):
+            size += len(texts[stop] or b"")
+            stop += 1
+        x, per = passages(texts[at:stop])
+        out.append(forward(m, np.clip((x - m["mean"]) / m["scale"], -8, 8), per)[0])
+        at = stop
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def scorer(m: Model) -> Callable[[Column], Column]:

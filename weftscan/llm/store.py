@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; each caller's rows are of a fixed width of some 100 bytes at most.
 BROADCAST_ROWS = 400_000
 #: Rows in an Arrow batch: whole documents, so batches stay small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
