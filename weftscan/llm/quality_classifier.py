@@ -7,7 +7,7 @@ is small, trained here with numpy on a bounded sample of labelled rows, and appl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,6 +75,18 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, per
 
 
+def grouped_passages(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`passages` of some texts at a time, so that memory does not follow their number."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < GROUP_BYTES):
+            size += len(texts[stop] or b"")
+            stop += 1
+        yield passages(texts[at:stop])
+        at = stop
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -117,7 +129,8 @@ def train(texts: list[bytes | None], labels: list[int], seed: int = 0) -> Model:
     m["mean"], m["scale"] = np.zeros(WIDTH), np.ones(WIDTH)
     if len(set(labels)) < 2:
         return m
-    x, per = passages(texts)
+    found = list(grouped_passages(texts))
+    x, per = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     m["mean"], m["scale"] = x.mean(axis=0), np.maximum(x.std(axis=0), 0.01)
     x = np.clip((x - m["mean"]) / m["scale"], -8, 8)
     first = np.cumsum(per) - per
@@ -139,15 +152,7 @@ def train(texts: list[bytes | None], labels: list[int], seed: int = 0) -> Model:
 
 
 def score_texts(m: Model, texts: list[bytes | None]) -> np.ndarray:
-    out, at = [], 0
-    while at < len(texts):  # some of them at a time, so that memory does not follow the batch
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size < GROUP_BYTES):
-            size += len(texts[stop] or b"")
-            stop += 1
-        x, per = passages(texts[at:stop])
-        out.append(forward(m, np.clip((x - m["mean"]) / m["scale"], -8, 8), per)[0])
-        at = stop
+    out = [forward(m, np.clip((x - m["mean"]) / m["scale"], -8, 8), per)[0] for x, per in grouped_passages(texts)]
     return np.concatenate(out) if out else np.empty(0)
 
 
