@@ -30,7 +30,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Characters up to which words are merged in numpy, and segmentations that a task remembers.
 SHORT, CACHE = 24, 400_000
 _WORD = re.compile(r" *[^ ]+| +")
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 _U = np.uint64
 
 
@@ -67,15 +67,48 @@ class Pieces:
                 a, b = self.of.get(t[:cut]), self.of.get(t[cut:])
                 if a is not None and b is not None:
                     pairs[(a << 20) | b] = (rank[k] << 20) | k
+        #: Ids of single characters by code point: a blank is the mark, a mark itself is not in the vocabulary.
+        self.single = np.full(0x110000, -1, np.int32)
+        for t, k in self.of.items():
+            if len(t) == 1:
+                self.single[ord(" " if t == MARK else t)] = k
+        self.single[ord(MARK)] = -1
+        if MARK not in self.of:
+            self.single[32] = -1
         self.merge = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.piece_of = np.array(ordered, np.int64)
+        self._hash(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter((v >> 20 for v in pairs.values()), np.int32, len(pairs)))
+
+    def _hash(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A table of open addresses from pairs to ranks; an empty slot has the key -1."""
+        self.bits = max(4, int(2 * len(keys)).bit_length() + 1)
+        self.slots, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[left[free]]  # of several for a slot one stays
+            done = self.slots[at] == keys[left]
+            self.ranks[at[done]] = ranks[left[done]]
+            left, at = left[~done], (at[~done] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """rank << 20 | piece of each pair, or _NONE."""
-        key = (a.astype(np.int64) << 20) | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], _NONE)
+        """The rank of each pair's merge, or _NONE; ids below 0 never merge."""
+        keys = (a.astype(np.int64) << 20) | b
+        out = np.full(keys.shape, _NONE, np.int32)
+        left = np.flatnonzero((a >= 0) & (b >= 0))
+        keys, flat = keys.ravel(), out.ravel()
+        at = self._slot(keys[left])
+        while len(left):
+            found = self.slots[at]
+            hit = found == keys[left]
+            flat[left[hit]] = self.ranks[at[hit]]
+            on = ~hit & (found >= 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return flat.reshape(out.shape)
 
 
 @lru_cache(maxsize=2)
@@ -111,14 +144,15 @@ def _spell(p: Pieces, ids: list[int], chars: str) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-def _initial(p: Pieces, word: str) -> list[int]:
-    """Ids of single characters; a blank is the mark, a mark itself is not in the vocabulary."""
-    return [p.of.get(MARK if c == " " else c, -1) if c != MARK else -1 for c in word]
+def _initial(p: Pieces, text: str) -> np.ndarray:
+    """Ids of single characters, -1 for those outside the vocabulary."""
+    return p.single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
 
 def encode_long(p: Pieces, word: str, key: int, dropout: float) -> bytes:
     """One word by an agenda of candidate merges, best rank first, then leftmost."""
-    ids = _initial(p, word)
+    first = _initial(p, word)
+    ids = first.tolist()
     n = len(ids)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     heap: list[tuple[int, int, int, int]] = []
@@ -149,59 +183,50 @@ def encode_long(p: Pieces, word: str, key: int, dropout: float) -> bytes:
         if before[a] >= 0:
             push(before[a])
     left = [i for i, d in zip(ids, dead, strict=True) if not d]
-    return _spell(p, left, "".join(c for c in word if p.of.get(MARK if c == " " else c, -1) < 0 or c == MARK))
+    return _spell(p, left, "".join(c for c, k in zip(word, first.tolist(), strict=True) if k < 0))
 
 
 def encode_short(p: Pieces, words: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
     """Words of at most SHORT characters together: in each turn every word makes or skips its best candidate."""
-    first = [_initial(p, w) for w in words]
-    width = max(map(len, first))
-    ids = np.full((len(words), width + 1), -1, np.int64)
-    sizes = np.array([len(x) for x in first])
-    flat = np.fromiter((i for x in first for i in x), np.int64, int(sizes.sum()))
-    ids[:, :width][np.arange(width) < sizes[:, None]] = flat
-    missing = [i for i, x in enumerate(first) if -1 in x]
-    place = np.tile(np.arange(width + 1), (len(words), 1))
+    first = _initial(p, "".join(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    width = int(sizes.max())
+    whole = np.full((len(words), width + 1), -2, np.int32)  # -2: none, or merged into its left neighbour
+    whole[:, :width][np.arange(width) < sizes[:, None]] = first
+    live, ids = np.arange(len(words)), whole.copy()
+    after = np.tile(np.arange(1, width + 2), (len(words), 1))
+    after[:, -1] = width
+    before = np.tile(np.arange(-1, width), (len(words), 1))
     best = p.pair(ids[:, :-1], ids[:, 1:])
-    live = np.arange(len(words))
-    done_ids, done_sizes = np.full((len(words), width), -1, np.int64), sizes.copy()
-    now = sizes.copy()
-    column = np.arange(width + 1)
-    while True:
+    while len(live):
         at = best.argmin(axis=1)
         row = np.arange(len(live))
-        value = best[row, at]
-        over = value == _NONE
-        if over.any():
-            done_ids[live[over]], done_sizes[live[over]] = ids[over][:, :width], now[over]
-            on = ~over
-            live, ids, place, best, now, at, value = live[on], ids[on], place[on], best[on], now[on], at[on], value[on]
+        rank = best[row, at]
+        on = rank != _NONE
+        if 2 * int(on.sum()) <= len(live):  # half of the words are done: go on with the others alone
+            whole[live[~on]] = ids[~on]
+            live, ids, after, before, best, at, rank = live[on], ids[on], after[on], before[on], best[on], at[on], rank[on]
             row = np.arange(len(live))
-        if not len(live):
-            break
-        piece = value & 0xFFFFF
-        skip = _skips(keys[live], place[row, at], piece, dropout)
+        else:
+            row, at, rank = row[on], at[on], rank[on]
+        piece = p.piece_of[rank]
+        skip = _skips(keys[live[row]], at, piece, dropout)
         best[row[skip], at[skip]] = _NONE
-        r, c = row[~skip], at[~skip]
-        if len(r):
-            src = np.minimum(column[None, :] + (column[None, :] > c[:, None]), width)
-            for m in (ids, place):
-                part = np.take_along_axis(m[r], src, 1)
-                part[:, width] = -1
-                m[r] = part
-            part = np.take_along_axis(best[r], np.minimum(src[:, :width], width - 1), 1)
-            part[:, width - 1] = _NONE
-            best[r] = part
-            ids[r, c] = piece[~skip]
-            now[r] -= 1
-            best[r, c] = p.pair(ids[r, c], ids[r, c + 1])
-            left = c > 0
-            best[r[left], c[left] - 1] = p.pair(ids[r[left], c[left] - 1], ids[r[left], c[left]])
-    out_flat = done_ids[np.arange(width) < done_sizes[:, None]].astype(np.int32)
-    raw, ends = out_flat.tobytes(), (4 * np.cumsum(done_sizes)).tolist()
+        r, c, piece = row[~skip], at[~skip], piece[~skip]
+        gone = after[r, c]
+        right = after[r, gone]
+        ids[r, c], ids[r, gone] = piece, -2
+        after[r, c], before[r, right] = right, c
+        best[r, np.minimum(gone, width - 1)] = _NONE
+        best[r, c] = p.pair(piece, ids[r, right])
+        left = before[r, c]
+        inner = left >= 0
+        best[r[inner], left[inner]] = p.pair(ids[r[inner], left[inner]], piece[inner])
+    kept = whole != -2
+    raw, ends = whole[kept].tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
     out = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    for i in missing:
-        chars = "".join(c for c, k in zip(words[i], first[i], strict=True) if k < 0)
+    for i in np.unique(np.repeat(np.arange(len(words)), sizes)[first < 0]).tolist():
+        chars = "".join(c for c, k in zip(words[i], _initial(p, words[i]).tolist(), strict=True) if k < 0)
         out[i] = _spell(p, np.frombuffer(out[i], np.int32).tolist(), chars)
     return out
 
@@ -210,35 +235,36 @@ def word_key(word: str, seed: int, variant: int) -> int:
     return xxhash.xxh3_64_intdigest(word.encode(), seed ^ (variant * 0x9E3779B97F4A7C15 & (1 << 63) - 1))
 
 
-def encode_texts(p: Pieces, texts: list[str | None], dropout: float, seed: int, variants: int, cache: dict) -> list[bytes | None]:
-    """int32 ids of each text, as bytes; None for None. ``cache`` holds segmentations of words by variant."""
-    if len(cache) > CACHE:
+def encode_texts(p: Pieces, texts: list[str | None], dropout: float, seed: int, variants: int, cache: dict[int, dict[str, bytes]]) -> list[bytes | None]:
+    """int32 ids of each text, as bytes; None for None. ``cache`` holds, by variant, segmentations of words."""
+    if sum(map(len, cache.values())) > CACHE:
         cache.clear()
     cut: list[list[str] | None] = []
     which: list[int] = []
-    wanted: dict[tuple[int, str], None] = {}
+    wanted: dict[int, set[str]] = {}
     for t in texts:
         v = xxhash.xxh3_64_intdigest(t.encode(), seed) % variants if t and dropout > 0 else 0
         which.append(v)
         words = _WORD.findall(" " + t) if t else ([] if t is not None else None)
         cut.append(words)
         if words:
-            wanted.update({(v, w): None for w in set(words) if (v, w) not in cache})
-    short = [k for k in wanted if len(k[1]) <= SHORT]
-    short.sort(key=lambda k: len(k[1]))
+            wanted.setdefault(v, set()).update(words)
+    new = [(v, w) for v, words in wanted.items() for w in words - cache.setdefault(v, {}).keys()]
+    short = sorted((k for k in new if len(k[1]) <= SHORT), key=lambda k: len(k[1]))
     for at in range(0, len(short), 8000):
         part = short[at : at + 8000]
         keys = np.array([word_key(w, seed, v) for v, w in part], _U)
-        cache.update(zip(part, encode_short(p, [w for _, w in part], keys, dropout), strict=True))
-    for v, w in wanted:
+        for (v, w), ids in zip(part, encode_short(p, [w for _, w in part], keys, dropout), strict=True):
+            cache[v][w] = ids
+    for v, w in new:
         if len(w) > SHORT:
-            cache[v, w] = encode_long(p, w, word_key(w, seed, v), dropout)
-    return [None if words is None else b"".join([cache[v, w] for w in words]) for v, words in zip(which, cut, strict=True)]
+            cache[v][w] = encode_long(p, w, word_key(w, seed, v), dropout)
+    return [None if words is None else b"".join(map(cache[v].__getitem__, words)) if words else b"" for v, words in zip(which, cut, strict=True)]
 
 
 def decode_ids(p: Pieces, ids: np.ndarray) -> str:
     raw = p.raw
-    return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    return b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None, name: str = "ids") -> DataFrame:
