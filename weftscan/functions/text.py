@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from .plain import ENTITIES
 _INTS = "array<int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: expressions inside lambdas are not shared by the optimizer."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ints(*values: Column | int) -> Column:
     return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]).cast(_INTS)
 
@@ -44,23 +51,33 @@ def strip_block(raw: Column) -> Column:
     """struct(text, map) of a block comment without markers, gutters and padding."""
     first = F.when(raw.startswith("/**") & (F.length(raw) >= 5), 3).otherwise(2)
     opening = first + F.when(raw.substr(first + 1, F.lit(1)) == " ", 1).otherwise(0)
-    closed = (F.length(raw) - opening >= 2) & raw.endswith("*/")
-    body = raw.substr(opening + 1, F.length(raw) - opening - F.when(closed, 2).otherwise(0))
-    lines = F.split(body, "\n", -1)
-    last = F.size(lines) - 1
-    cut = lambda x, k: F.when(k == 0, 0).otherwise(gutter_length(x))
-    pad = lambda x, k: F.when(closed & (k == last) & x.substr(cut(x, k) + 1, F.length(x)).endswith(" "), 1).otherwise(0)
-    text = F.array_join(F.transform(lines, lambda x, k: x.substr(cut(x, k) + 1, F.length(x) - cut(x, k) - pad(x, k))), "\n")
     none = F.array().cast(_INTS)
 
-    def spans(x: Column, k: Column) -> Column:
-        n = F.length(x) - cut(x, k) - pad(x, k)
+    def lines_of(head: Column) -> Column:
+        """Of each line of the body: where its content begins, how long it is, whether a blank pads its end."""
+        at, closed = head["at"], head["closed"]
+        body = raw.substr(at + 1, F.length(raw) - at - F.when(closed, 2).otherwise(0))
+        cut = lambda xs: F.transform(xs, lambda x, k: let(F.when(k == 0, 0).otherwise(gutter_length(x)), lambda g: measured(x, k, F.size(xs) - 1, g)))
+
+        def measured(x: Column, k: Column, last: Column, gutter: Column) -> Column:
+            pad = F.when(closed & (k == last) & (F.length(x) > gutter) & x.endswith(" "), 1).otherwise(0)
+            end = F.when(closed & (k == last), 2 + pad).otherwise(-1)
+            return F.struct(x.substr(gutter + 1, F.length(x) - gutter - pad).alias("x"), (k > 0).alias("later"), gutter.alias("g"), end.alias("end"))
+
+        return let(F.split(body, "\n", -1), cut)
+
+    def spans(v: Column) -> Column:
+        n = F.length(v["x"])
         return F.concat(
-            F.when(k > 0, _ints(1, 1)).otherwise(none), F.when(cut(x, k) > 0, _ints(cut(x, k), 0)).otherwise(none),
-            F.when(n > 0, _ints(n, n)).otherwise(none), F.when(closed & (k == last), _ints(2 + pad(x, k), 0)).otherwise(none),
+            F.when(v["later"], _ints(1, 1)).otherwise(none), F.when(v["g"] > 0, _ints(v["g"], 0)).otherwise(none),
+            F.when(n > 0, _ints(n, n)).otherwise(none), F.when(v["end"] > 0, _ints(v["end"], 0)).otherwise(none),
         )
 
-    return _struct(text, F.concat(_ints(opening, 0), F.flatten(F.transform(lines, spans))))
+    def stripped(head: Column) -> Column:
+        return let(lines_of(head), lambda vs: _struct(F.array_join(F.transform(vs, lambda v: v["x"]), "\n"), F.concat(_ints(head["at"], 0), F.flatten(F.transform(vs, spans)))))
+
+    head = let(opening, lambda at: F.struct(at.alias("at"), ((F.length(raw) - at >= 2) & raw.endswith("*/")).alias("closed")))
+    return let(head, stripped)
 
 
 def strip_comment(raw: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.tags import chain
-from ..functions.text import strip_comment, strip_delimited, strip_marker
+from ..functions.text import let, strip_comment, strip_delimited, strip_marker
 from ..schema import SEGMENTS_DDL
 
 _LINE, _BLOCK = r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)"
@@ -43,11 +43,17 @@ def starts(lengths: Column) -> Column:
     """Exclusive running sums of an array of lengths."""
     grow = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
     running = lambda xs, base: F.slice(F.aggregate(xs, F.array(base), grow), 1, F.size(xs))
-    blocks = F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int")), lambda k: F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    bases = running(sums, F.lit(0))
-    summed = F.flatten(F.transform(blocks, lambda b, k: running(b, F.get(bases, k))))
-    return F.when(F.size(lengths) > 0, summed).otherwise(F.array().cast("array<int>"))
+    short = lambda xs: running(xs, F.lit(0))
+
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return let(running(sums, F.lit(0)), lambda bases: F.flatten(F.transform(blocks, lambda b, k: running(b, F.get(bases, k)))))
+
+    def cut(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(xs) <= BLOCK, short(xs)).otherwise(let(blocks, summed))
+
+    return let(lengths, cut)
 
 
 def _tags(leaf: str) -> Column:
@@ -56,7 +62,7 @@ def _tags(leaf: str) -> Column:
 
 def _classified(piece: Column, family: str) -> Column:
     """struct(text, map, tags) of a piece; the text of code is null, as is its map."""
-    tagged = lambda s, leaf: F.struct(s["text"].alias("text"), s["map"].alias("map"), _tags(leaf).alias("tags"))
+    tagged = lambda s, leaf: let(s, lambda v: F.struct(v["text"].alias("text"), v["map"].alias("map"), _tags(leaf).alias("tags")))
     doc = piece.startswith("/**") if family == "example" else piece.startswith("/**") & (F.length(piece) >= 5)
     out = F
     if family == "c-cpp":
@@ -89,16 +95,14 @@ def _classified(piece: Column, family: str) -> Column:
 
 def scan(content: Column, family: str) -> Column:
     """array<segment> of a text, gaps included as code; a null text gives null, an empty one no segments."""
-    found = pieces(content, family)
-    at = starts(F.transform(found, F.length))
-    zipped = F.arrays_zip(found.alias("p"), at.alias("s"))
 
     def segment(z: Column, k: Column) -> Column:
-        c = _classified(z["p"], family)
-        one = lambda c: F.struct(
+        return let(_classified(z["p"], family), lambda c: F.struct(
             k.cast("int").alias("pos"), z["s"].alias("start"), (z["s"] + F.length(z["p"])).alias("end"), F.coalesce(c["text"], z["p"]).alias("text"),
             F.when(c["text"].isNotNull(), z["p"]).alias("raw_text"), c["map"].alias("map"), c["tags"].alias("tags"),
-        )
-        return F.get(F.transform(F.array(c), one), F.lit(0))
+        ))
+
+    def placed(found: Column) -> Column:
+        return F.transform(F.arrays_zip(found.alias("p"), starts(F.transform(found, F.length)).alias("s")), segment)
 
-    return F.transform(zipped, segment).cast(SEGMENTS_DDL)
+    return let(pieces(content, family), placed).cast(SEGMENTS_DDL)
