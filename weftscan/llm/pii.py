@@ -18,6 +18,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .store import join_sized, table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -52,7 +53,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(r"^(?:0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]|)(?:\.|$)){4}$") & ~m.rlike(r"^\.|\.\.|\.$")
     if kind == "card":
-        return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
+        return let(digits, lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)
@@ -65,7 +66,7 @@ def _gate(kind: str, text: Column) -> Column:
 def _located(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, m, before, after>> of the leftmost non-overlapping matches, in code points."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.transform(found, lambda m, k: F.struct(m.alias("m"), F.element_at(gaps, k + 1).alias("g"), F.element_at(gaps, k + 2).alias("h")))
+    both = let(gaps, lambda cut: F.transform(found, lambda m, k: F.struct(m.alias("m"), F.get(cut, k).alias("g"), F.get(cut, k + 1).alias("h"))))
     kind = "struct<at:int,out:array<struct<start:int,stop:int,m:string,g:string,h:string>>>"
 
     def add(acc: Column, x: Column) -> Column:
@@ -105,8 +106,10 @@ def _instances(text: Column) -> Column:
     space = r"[\x20\x09-\x0D\"']+"
 
     def one(s: Column) -> Column:
-        before = F.filter(F.split(s["g"], space, -1), lambda w: w != "")
-        after = F.filter(F.split(s["h"], space, -1), lambda w: w != "")
+        words = lambda side: F.filter(F.split(side, space, -1), lambda w: w != "")
+        return let(F.struct(words(s["g"]).alias("b"), words(s["h"]).alias("a")), lambda c: instance(s, c["b"], c["a"]))
+
+    def instance(s: Column, before: Column, after: Column) -> Column:
         n = F.size(before)
         w1 = _word(F.coalesce(F.get(before, n - 1), F.lit("^")))
         w2 = _word(F.coalesce(F.get(before, n - 2), F.lit("^")))
