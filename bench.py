@@ -15,9 +15,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftscan import queries as core
+from weftscan.functions.tags import defaults
 from weftscan.operators import filters
 from weftscan.operators.extract import exploded, scan
-from weftscan.functions.tags import defaults
 
 SCAN = ["go", "java", "c-cpp", "python", "rust", "typescript", "ruby", "php", "csharp", "tree-typescript"]
 QUERIES = ["segments_by_tag", "tag_rollup", "gap_fill", "coverage_check", "bundle_extract", "decode_entities_pages", "script_strings_pages", "issues_sorted"]
@@ -41,8 +41,8 @@ def main() -> None:
         chars = made.agg(F.sum(F.octet_length("content"))).first()[0]
         family = "syntax-tree" if scanner.startswith("tree-") else scanner
         kept = filters.filter_segments(scan(F.col("content"), scanner), None, defaults(family))
-        counted = exploded(made, kept, ["file_id"]).groupBy(F.element_at("tags", -1).alias("tag")).count()
-        timed(f"q_scan_{scanner}", counted.collect)
+        count = lambda made=made, kept=kept: exploded(made, kept, ["file_id"]).groupBy(F.element_at("tags", -1).alias("tag")).count().collect()
+        timed(f"q_scan_{scanner}", count)
         rate[scanner] = round(chars / 1e6 / seconds[f"q_scan_{scanner}"], 1)
         made.unpersist()
     for name in QUERIES:

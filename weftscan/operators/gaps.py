@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..schema import SEGMENTS_DDL
 
 #: Position of the row that stands for a file's end; it comes after every segment.
@@ -37,21 +38,21 @@ def fill_rows(files: DataFrame, segments: DataFrame, key: str = "file_id", tags:
 
 def fill_array(segments: Column, content: Column, tags: tuple[str, ...] = ("code",), with_raw: bool = False) -> Column:
     """The segments of one row with the gaps between them; ``pos`` is numbered anew. An empty content gives none."""
-    n = F.size(segments)
     raw = lambda text: text if with_raw else F.lit(None).cast("string")
+    none = F.array().cast(SEGMENTS_DDL)
 
     def gap(start: Column, end: Column) -> Column:
         text = content.substr(start + 1, end - start)
         return F.struct(F.lit(0).alias("pos"), start.alias("start"), end.alias("end"), text.alias("text"), raw(text).alias("raw_text"), F.lit(None).cast("array<int>").alias("map"), F.array(*[F.lit(t) for t in tags]).alias("tags"))
 
-    def with_gap(s: Column, k: Column) -> Column:
-        before = F.coalesce(F.get(segments, k - 1)["end"], F.lit(0))
-        return F.when(s["start"] > before, F.array(gap(before, s["start"]), s)).otherwise(F.array(s))
+    def filled(own: Column) -> Column:
+        end_before = lambda k: F.coalesce(F.get(own, k - 1)["end"], F.lit(0))
+        with_gap = lambda s, k: let(end_before(k), lambda at: F.when(s["start"] > at, F.array(gap(at, s["start"]), s)).otherwise(F.array(s)))
+        tail = let(end_before(F.size(own)), lambda at: F.when(F.length(content) > at, F.array(gap(at, F.length(content)))).otherwise(none))
+        both = F.concat(F.flatten(F.transform(own, with_gap)).cast(SEGMENTS_DDL), tail.cast(SEGMENTS_DDL))
+        return F.transform(both, lambda s, k: s.withField("pos", k.cast("int")))
 
-    last = F.coalesce(F.get(segments, n - 1)["end"], F.lit(0))
-    tail = F.when(F.length(content) > last, F.array(gap(last, F.length(content)))).otherwise(F.array().cast(SEGMENTS_DDL))
-    filled = F.concat(F.flatten(F.transform(segments, with_gap)).cast(SEGMENTS_DDL), tail.cast(SEGMENTS_DDL))
-    return F.transform(filled, lambda s, k: s.withField("pos", k.cast("int")))
+    return let(segments, filled)
 
 
 def coverage(segments: Column, content: Column) -> Column:
