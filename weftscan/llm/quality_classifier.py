@@ -57,7 +57,8 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         size = np.maximum(1, np.bincount(at, minlength=total))[:, None]
         out[:, :CLASSES] = np.bincount(at * CLASSES + _CLASS[raw], minlength=total * CLASSES).reshape(total, -1) / size
         pair = _BIG[raw[:-1].astype(np.int64) << 8 | raw[1:]]
-        out[:, CLASSES : CLASSES + HASHED] = np.bincount(at[:-1] * HASHED + pair, minlength=total * HASHED).reshape(total, -1) / size
+        inside = doc[1:] == doc[:-1]  # no pair spans two texts, so that a text's score is its own
+        out[:, CLASSES : CLASSES + HASHED] = np.bincount((at[:-1] * HASHED + pair)[inside], minlength=total * HASHED).reshape(total, -1) / size
         word = (raw != 32) & ((raw < 9) | (raw > 13))
         begins = word & np.r_[True, ~word[:-1] | (doc[1:] != doc[:-1])]
         edge = np.flatnonzero(begins)
