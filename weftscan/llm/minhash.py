@@ -208,33 +208,35 @@ def components(links: DataFrame) -> DataFrame:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _promising(cell: list[dict], rows: np.ndarray) -> np.ndarray:
-    """For each of a cell's rows (an array of indices), a boolean row: which later rows it must be compared with.
-
-    Labels must differ, sizes allow the threshold, the estimate come near it, the pair's first common band be this
-    bucket's, neither be the bucket's leader, and in a cell of two blocks the blocks differ.
-    """
-    sig = np.frombuffer(b"".join(r["sig"] for r in cell), np.uint8).reshape(len(cell), -1)
-    bands = np.array([r["bands"] for r in cell], np.int64)
-    label, size = np.array([r["label"] for r in cell]), np.array([r["n_shingles"] for r in cell])
-    block, node = np.array([r["own"] for r in cell]), np.array([r["rep"] for r in cell])
-    band = int(np.flatnonzero(bands[0] == cell[0]["key"])[0])
-    two, leader = cell[0]["i"] != cell[0]["j"], cell[0]["leader"]
-    out = np.zeros((len(rows), len(cell)), bool)
-    for k, at in enumerate(rows.tolist()):
-        if node[at] == leader:
-            continue
-        good = (label != label[at]) & (node != leader) & (np.arange(len(cell)) > at)
-        if two:
-            good &= block != block[at]
-        good &= 100 * np.minimum(size, size[at]) >= PERCENT * np.maximum(size, size[at])
-        where = np.flatnonzero(good)
+class _Cell:
+    """The rows of a cell as arrays, and for each row which later ones it must be compared with."""
+
+    def __init__(self, cell: list[dict]):
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in cell), np.uint8).reshape(len(cell), -1)
+        self.bands = np.array([r["bands"] for r in cell], np.int64)
+        self.label, self.size = np.array([r["label"] for r in cell]), np.array([r["n_shingles"] for r in cell])
+        self.block, self.node = np.array([r["own"] for r in cell]), np.array([r["rep"] for r in cell])
+        self.band = int(np.flatnonzero(self.bands[0] == cell[0]["key"])[0])
+        self.two, self.free = cell[0]["i"] != cell[0]["j"], self.node != cell[0]["leader"]
+
+    def promising(self, at: int) -> np.ndarray:
+        """Later rows of another label, of a size that allows the threshold and an estimate near it.
+
+        The pair's first common band must be this bucket's, neither be the bucket's leader (those pairs were compared
+        before), and in a cell of two blocks the blocks differ.
+        """
+        if not self.free[at]:
+            return np.empty(0, np.int64)
+        rest = slice(at + 1, None)
+        size, own = self.size[rest], self.size[at]
+        good = self.free[rest] & (self.label[rest] != self.label[at]) & (100 * np.minimum(size, own) >= PERCENT * np.maximum(size, own))
+        if self.two:
+            good &= self.block[rest] != self.block[at]
+        where = np.flatnonzero(good) + at + 1
         if len(where):
-            near = estimate(_DIFFERENT[sig[where] ^ sig[at]].sum(axis=1, dtype=np.int64)) >= LEAST_ESTIMATE
-            where = where[near]
-            first = (bands[where] == bands[at]).argmax(axis=1) == band
-            out[k, where[first]] = True
-    return out
+            where = where[estimate(_DIFFERENT[self.sig[where] ^ self.sig[at]].sum(axis=1, dtype=np.int64)) >= LEAST_ESTIMATE]
+            where = where[(self.bands[where] == self.bands[at]).argmax(axis=1) == self.band]
+        return where
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -266,11 +268,11 @@ def _hopeful(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _by_cell(batches):
-            some = np.zeros(len(cell), bool)
-            for at in range(0, len(cell), 64):
-                found = _promising(cell, np.arange(at, min(at + 64, len(cell))))
-                some |= found.any(axis=0)
-                some[at : at + 64] |= found.any(axis=1)
+            some, arrays = np.zeros(len(cell), bool), _Cell(cell)
+            for at in range(len(cell)):
+                found = arrays.promising(at)
+                some[found] = True
+                some[at] |= len(found) > 0
             reps = [cell[k]["rep"] for k in np.flatnonzero(some)]
             yield pa.RecordBatch.from_arrays([pa.array([cell[0]["key"]] * len(reps), pa.int64()), pa.array(reps, pa.int64())], names=["key", "rep"])
 
@@ -282,7 +284,7 @@ def _links_in_cells(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _by_cell(batches):
-            sets = [np.frombuffer(r["hashes"], np.uint64) for r in cell]
+            sets, arrays = [np.frombuffer(r["hashes"], np.uint64) for r in cell], _Cell(cell)
             up: dict[int, int] = {}
 
             def root(x: int, up: dict[int, int] = up) -> int:
@@ -292,7 +294,7 @@ def _links_in_cells(rows: DataFrame) -> DataFrame:
 
             a, b = [], []
             for at in range(len(cell)):
-                for k in np.flatnonzero(_promising(cell, np.array([at]))[0]).tolist():
+                for k in arrays.promising(at).tolist():
                     x, y = root(cell[at]["label"]), root(cell[k]["label"])
                     if x != y and _linked(sets[at], sets[k]):
                         up[max(x, y)] = min(x, y)
