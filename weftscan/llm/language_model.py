@@ -257,7 +257,7 @@ def _pairs(a: dict[str, np.ndarray], shard_bits: int) -> dict[str, np.ndarray]:
     salt_bits = max(0, shard_bits - 3)
     salted = (context ^ (successor.astype(_U) >> _U(32 - salt_bits) if salt_bits else _U(0))) * _U(0x9E3779B97F4A7C15)
     shard = ((salted ^ (salted >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(64 - shard_bits)).astype(np.int64)
-    order = np.lexsort((successor, context, shard))
+    order = np.argsort(shard.astype(np.uint32), kind="stable")  # keys are sorted: by context, then successor
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     counts = np.bincount(place[a["train"]], minlength=len(key))
