@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Rows in an Arrow batch: whole documents, so batches stay small.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def narrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
