@@ -15,6 +15,10 @@ from ..schema import SEGMENT, SEGMENTS_DDL
 from .catalog import Parser, Plugin
 
 
+#: Bytes of text in a batch that goes to a Python scanner; files may be large.
+BATCH_BYTES = 16 << 20
+
+
 def serving(plugin: Plugin, settings: list[dict[str, str]] | None = None) -> dict[str, Parser]:
     """File type to parser as language settings say; of several rows the last wins, and so it does among parsers of a name."""
     by_name = {p.name: p for p in plugin.parsers}
@@ -33,6 +37,7 @@ def parsed(files: DataFrame, plugin: Plugin, settings: list[dict[str, str]] | No
     pass over the files, in which each scanner runs for its own rows only.
     """
     route = serving(plugin, settings)
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if not route:
         return files.withColumn("parser", F.lit(None).cast("string")).withColumn("segments", F.lit(None).cast(SEGMENTS_DDL))
     kind, name, segments = F.col("file_type"), F, F
