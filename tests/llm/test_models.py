@@ -153,6 +153,13 @@ def test_blocks():
     assert len(html_text.blocks("<p>" * 3000 + "x" + "<b>" * 3000)) == 1
 
 
+def test_vectors_read_the_whole_block():
+    start, rest = ["start"] * 30, [f"rest{k}" for k in range(40)]
+    one, two = (html_text.vectors(html_text.blocks(f"<p>{' '.join(words)}.</p>"))[0] for words in (start + rest, start + ["other0"] * 40))
+    words = slice(html_text.TAGS + html_text.NAMES, html_text.TAGS + html_text.NAMES + html_text.WORDS)
+    assert (one[words] > 0).sum() > 10 and (two[words] > 0).sum() <= 3
+
+
 def test_labels_on_pages_never_seen():
     m = dict(html_text.default_model())
     right = whole = 0

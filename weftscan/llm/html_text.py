@@ -133,10 +133,11 @@ def vectors(found: list[Block]) -> np.ndarray:
         for n in b.names:
             row[TAGS + _bucket(n, NAMES)] = 1
         words = b.text.lower().split()
-        for w in words[:24]:
-            row[TAGS + NAMES + _bucket(w, WORDS)] += 0.25
         n = len(b.text)
         m = TAGS + NAMES + WORDS
+        for w in words:
+            row[TAGS + NAMES + _bucket(w, WORDS)] += 1
+        row[TAGS + NAMES : m] = np.log1p(row[TAGS + NAMES : m]) / 3
         row[m] = np.log1p(len(words)) / 4
         row[m + 1] = min(1.0, b.linked / n)
         row[m + 2] = b.text[-1] in ".!?:"
