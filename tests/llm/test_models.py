@@ -153,6 +153,16 @@ def test_blocks():
     assert len(html_text.blocks("<p>" * 3000 + "x" + "<b>" * 3000)) == 1
 
 
+def test_blocks_keep_all_but_raw_elements():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("<p>a<svg width='1'/>b<p>c<math/>d") == ["a", "b", "cd"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><xmp><b>&amp;</xmp><object data='o'>c</object><noscript>d</noscript>") == ["a x=2 b", "<b>&amp;", "c", "d"]
+    assert texts("<p>a<textarea>b<p>c<iframe src=i>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<script src=s />b<style>c</style>d<script>e") == ["a", "b", "d"]
+    deep = html_text.blocks("<main><div id=a>" + "<div>" * 300 + "x" + "</div>" * 300 + "<p>y")
+    assert [b.path for b in deep][1] == ["main", "div", "p"]
+
+
 def test_vectors_read_the_whole_block():
     start, rest = ["start"] * 30, [f"rest{k}" for k in range(40)]
     one, two = (html_text.vectors(html_text.blocks(f"<p>{' '.join(words)}.</p>"))[0] for words in (start + rest, start + ["other0"] * 40))

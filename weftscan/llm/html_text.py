@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,10 +25,13 @@ from .store import narrow_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Elements whose content is no text, those that hold nothing, and those that do not end a block.
-RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp noframes".split())
+#: Elements whose content is no text, those of them that take the rest of a page if they do not end, elements that hold nothing, and those that do not end a block.
+RAW = frozenset("script style textarea title iframe select".split())
+ENDLESS = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
+)
 #: What an open element of the first kind ends at.
 _ENDS = {"p": frozenset("p div ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table tr td th pre blockquote form section article aside header footer nav main figure hr".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
@@ -52,7 +56,8 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: decoded, white space turned into single spaces, empty ones left out.
 
-    Tags that are never closed or never opened do no harm; a comment or raw element that does not end takes the rest.
+    Tags that are never closed or never opened do no harm; a comment, script or style that does not end takes the rest,
+    any other raw element that does not end is its tag alone. Markup in ``xmp`` is text.
     """
     page = page or ""
     out: list[Block] = []
@@ -61,6 +66,8 @@ def blocks(page: str | None) -> list[Block]:
     linked = 0
     where: list[tuple[str, tuple[str, ...]]] = []
     in_link = 0
+    endless: set[str] = set()  # raw elements without a further end tag in the page
+    deeper: Counter[str] = Counter()  # elements open beyond what the stack holds
 
     def flush() -> None:
         nonlocal linked
@@ -71,10 +78,10 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    def put(raw: str) -> None:
+    def put(raw: str, decode: bool = True) -> None:
         nonlocal linked, where
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if decode and "&" in raw else raw
             if not parts or not "".join(parts).strip():
                 where = list(stack)
             parts.append(text)
@@ -95,29 +102,43 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if deeper[name]:
+                deeper[name] -= 1
+            else:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
+                        deeper.clear()
+                        break
             if name == "a":
                 in_link = 0
             continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if name not in INLINE:
-                flush()
+        empty = m[3].endswith("/")
+        if name in RAW or name == "xmp":
+            flush()
+            end = None if empty or name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end:
+                if name == "xmp":
+                    put(page[at : end.start()], False)
+                    flush()
+                at = end.end()
+            elif not empty and name in ENDLESS:
+                at = len(page)
+            elif not empty:
+                endless.add(name)
             continue
         if name == "br":
             parts.append(" ")
         if name not in INLINE and name != "br":
             flush()
-            while stack and (name in _ENDS.get(stack[-1][0], ()) or (stack[-1][0] in INLINE and any(name in _ENDS.get(t, ()) for t, _ in stack[-4:]))):
+            while stack and not deeper.total() and (name in _ENDS.get(stack[-1][0], ()) or (stack[-1][0] in INLINE and any(name in _ENDS.get(t, ()) for t, _ in stack[-4:]))):
                 stack.pop()
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not empty:
             found = tuple(p.lower() for a in _ATTRIBUTE.finditer(m[3]) for p in _PIECE.findall(a[2] or a[3] or a[4] or ""))
             if len(stack) < 200:
                 stack.append((name, found))
+            else:
+                deeper[name] += 1
             if name == "a":
                 in_link = 1
     flush()
