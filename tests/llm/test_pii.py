@@ -84,6 +84,16 @@ def test_patterns_discover_unseen_identifiers(spark):
             assert found == []
 
 
+def test_spans_of_all_kinds_are_seeds(spark):
+    """E-mails without a digit and phones in groups teach their contexts; what stands there needs no digit and may hold blanks."""
+    name = lambda k: "abcdefghij"[k] * 3
+    rows = [(k, f"{prose(k, 20)} reach member via: {name(k)}@example.com or so, desk line is +44 20 7946 095{k} thanks {prose(k + 50, 9)}") for k in range(10)]
+    rows += [(20, f"{prose(20, 20)} reach member via: jdoe or so"), (21, f"{prose(21, 20)} desk line is 020 7946 11 thanks"), (22, f"{prose(22, 20)} desk line was 020 7946 12 thanks")]
+    found = {r.doc_id: r.extra for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {k: [(s.kind, t[s.start : s.stop]) for s in found[k]] for k, t in rows if found[k]}
+    assert got == {20: [("context_email", "jdoe")], 21: [("context_phone", "020 7946 11")]}
+
+
 def test_plans_hold_no_python(spark):
     df = spark.createDataFrame(contexts(), "doc_id long, text string")
     plan = pii.spans(df)._jdf.queryExecution().toString() + pii.base(df)._jdf.queryExecution().toString()

@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Base spans (e-mail, IP, card, phone) and long mixed hexadecimal strings are the seed entities. Every identifier-like
-run of characters is an instance; the words around it are its lexical patterns. Seeds give patterns their precision
+Base spans (e-mail, IP, card, phone) and long mixed hexadecimal strings are the seed entities. Every token, and every
+run of tokens that hold a digit, is an instance; the words around it are its lexical patterns. Seeds give patterns their precision
 over distinct instances, patterns above a bar give instances a score, and accepted instances feed the next round, all
 as grouped aggregates over the pattern-instance graph. What the last round accepts, in a context that is itself a
 strong pattern, adds spans; base spans always stay.
@@ -30,11 +30,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
+#: What stands for the characters of a base span, those of a token, and the units of a text.
+MASK = "\ue000"
+_OF = r"[\p{L}\p{N}\p{M}._%+@-]"
+_NUMBER = r"(?=[\p{L}\p{M}._%+@-]*+\p{N})" + _OF + "++"
+UNIT = rf"{MASK}++|{_NUMBER}(?:\x20{_NUMBER}){{0,9}}+|{_OF}++|[^\p{{L}}\p{{N}}\p{{M}}._%+@\s\"'{MASK}-]++"
 SECRET = r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{32,64}$"
 ROUNDS = 3
 #: A pattern is strong with this precision over distinct instances and this much seed weight; an instance is accepted at this score.
 PRECISION, SUPPORT, ACCEPT = 0.8, 3.0, 0.85
+#: An instance stands in strong patterns at this share of its places at least: else it is a common word that came there.
+SHARE = 0.5
 #: Characters of context that are looked at on either side.
 CONTEXT = 80
 
@@ -97,32 +103,59 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def _word(w: Column) -> Column:
-    return F.regexp_replace(F.lower(w), "[0-9]+", "9")
+def _masked(text: Column, base: Column) -> Column:
+    """The text with every character of a base span turned into MASK: of the same length, and each run of spans one unit."""
+    clean = F.translate(text, MASK, " ")
+    kind = "struct<at:int,out:string>"
+
+    def add(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        more = F.concat(acc["out"], clean.substr(acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), F.greatest(s["stop"] - start, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out")).cast(kind)
+
+    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), add)
+    return F.when(F.size(base) == 0, clean).otherwise(F.concat(done["out"], clean.substr(done["at"] + 1, F.length(text))))
+
+
+def _merged(base: Column) -> Column:
+    """Runs of base spans that touch, each with the kind of its first: one for each masked unit."""
+    kind = "array<struct<start:int,stop:int,kind:string>>"
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fresh = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))))
+        return F.when(F.size(acc) == 0, fresh).when(s["start"] <= F.get(acc, F.size(acc) - 1)["stop"], longer).otherwise(fresh).cast(kind)
+
+    return F.aggregate(base, F.array().cast(kind), add)
 
 
-def _instances(text: Column) -> Column:
-    """Instances of a text, each with its lexical patterns: two words before; one word before and one after."""
-    space = r"[\x20\x09-\x0D\"']+"
+def _units(docs: DataFrame, held: DataFrame, how: str = "left") -> DataFrame:
+    """doc_id, th, t, base, masked, values, words: the units of every text, as they stand and as words of a context.
 
-    def one(s: Column) -> Column:
-        words = lambda side: F.filter(F.split(side, space, -1), lambda w: w != "")
-        return let(F.struct(words(s["g"]).alias("b"), words(s["h"]).alias("a")), lambda c: instance(s, c["b"], c["a"]))
+    A unit is a base span, a run of tokens that hold a digit, any other token, or punctuation. ``held`` has the base
+    spans of the texts that have some; ``how`` is inner if no other texts are wanted.
+    """
+    each = join_sized(_keyed(docs), held, ["doc_id", "th"], how).withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
+    each = each.withColumn("masked", _masked(F.col("t"), F.col("base")))
+    plain = F.regexp_replace(F.regexp_replace(F.lower("masked"), "[0-9]+", "9"), f"{MASK}+", MASK)
+    return each.withColumn("values", F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0))).withColumn("words", F.regexp_extract_all(plain, F.lit(UNIT), F.lit(0)))
+
+
+def _patterns(w2: Column, w1: Column, r1: Column) -> Column:
+    """The lexical patterns of a slot: two words before; one word before and one after."""
+    return F.array(F.concat_ws(" ", F.lit("L"), w2, w1), F.concat_ws(" ", F.lit("B"), w1, r1))
 
-    def instance(s: Column, before: Column, after: Column) -> Column:
-        n = F.size(before)
-        w1 = _word(F.coalesce(F.get(before, n - 1), F.lit("^")))
-        w2 = _word(F.coalesce(F.get(before, n - 2), F.lit("^")))
-        r1 = _word(F.coalesce(F.get(after, F.lit(0)), F.lit("$")))
-        value = F.rtrim(s["m"], F.lit("._%+@-"))
-        return F.struct(
-            s["start"].alias("start"), (s["start"] + F.length(value)).alias("stop"), value.alias("value"),
-            F.array(F.concat_ws(" ", F.lit("L"), w2, w1), F.concat_ws(" ", F.lit("B"), w1, r1)).alias("patterns"),
-        )
 
-    kind = "array<struct<start:int,stop:int,value:string,patterns:array<string>>>"
-    found = F.filter(F.transform(_located(text, INSTANCE), one), lambda s: F.length(s["value"]) >= 6)
-    return F.when(text.rlike("[0-9]"), found.cast(kind)).otherwise(F.array().cast(kind))
+def _places(units: DataFrame) -> DataFrame:
+    """doc_id, th, k, value, patterns of every unit that is no base span and holds a letter or a digit."""
+    edge = F.array(F.lit("^"))
+    zipped = F.arrays_zip(
+        F.col("values").alias("v"), F.concat(edge, edge, "words").alias("w2"), F.concat(edge, "words").alias("w1"),
+        F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("$"))).alias("r1"),
+    )
+    rows = units.select("doc_id", "th", F.posexplode(zipped).alias("k", "u")).select("doc_id", "th", "k", F.rtrim("u.v", F.lit("._%+@-")).alias("value"), _patterns(F.col("u.w2"), F.col("u.w1"), F.col("u.r1")).alias("patterns"))
+    return rows.where(F.col("value").rlike(r"[\p{L}\p{N}]"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -131,32 +164,72 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, th, base, found: the base spans and the instances of every whole text; a null counts as empty."""
-    return _keyed(docs).select("doc_id", "th", base_spans(F.col("t")).alias("base"), _instances(F.col("t")).alias("found"))
-
-
-def discover(rows: DataFrame) -> DataFrame:
-    """doc_id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``rows`` is what :func:`base` gives."""
-    each = rows.where(F.size("found") > 0).select("doc_id", "th", "base", F.explode("found").alias("s")).select("doc_id", "th", "base", "s.*")
-    hit = F.filter("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
-    seed = F.coalesce(F.get(hit, F.lit(0))["kind"], F.when(F.col("value").rlike(SECRET), SEED))
-    found = table(each.select("doc_id", "th", "start", "stop", "value", "patterns", seed.alias("seed"), (F.size(hit) > 0).alias("covered")), "instances")
-    edges = table(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
-    seeds = table(edges.where("seed IS NOT NULL").groupBy("value").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score")), "seeds")
-    scored, strong = seeds, None
+    """doc_id, th, base: the base spans of every whole text; a null counts as empty."""
+    return _keyed(docs).select("doc_id", "th", base_spans(F.col("t")).alias("base"))
+
+
+def _seeds(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """doc_id, th, k, value, kind, patterns of every base span and every secret."""
+    own = _units(docs, held, "inner")
+    at = F.filter(F.sequence(F.lit(0), F.size("values") - 1), lambda k: F.get("values", k).startswith(MASK))
+    each = own.select("doc_id", "th", "t", "words", F.explode(F.arrays_zip(at.alias("k"), _merged(F.col("base")).alias("s"))).alias("x")).select("doc_id", "th", "t", "words", "x.k", "x.s")
+    word = lambda d, edge: F.coalesce(F.when(F.col("k") + d >= 0, F.get("words", F.col("k") + d)), F.lit(edge))
+    value = F.col("t").substr(F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
+    spans = each.select("doc_id", "th", "k", value.alias("value"), F.col("s.kind").alias("kind"), _patterns(word(-2, "^"), word(-1, "^"), word(1, "$")).alias("patterns"))
+    secrets = _places(_units(docs.where(F.col("text").cast("string").rlike("[0-9a-fA-F]{32}")), held)).where(F.col("value").rlike(SECRET))
+    return spans.unionByName(secrets.withColumn("kind", F.lit(SEED)))
+
+
+def discover(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``rows`` is what :func:`base` gives for ``docs``.
+
+    Texts are read anew for the slots of patterns that seeds could make strong, and for all places of what is accepted.
+    """
+    held = table(rows.where(F.size("base") > 0).dropDuplicates(["doc_id", "th"]), "held")
+    found = table(_seeds(docs, held), "instances")
+    places = _places(_units(docs, held))
+    spread = places.select("value", F.explode("patterns").alias("pattern"))
+    seeds = table(found.groupBy("value").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score")), "seeds")
+    edges = table(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
+    scored, asked, strong = seeds, None, None
     for _ in range(ROUNDS):
-        weighed = edges.join(scored, "value", "left")
+        likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).select("pattern")
+        new = table(likely.join(asked, "pattern", "left_anti") if asked is not None else likely, "asked")
+        asked = table(asked.unionByName(new), "asked") if asked is not None else new
+        if not new.isEmpty():
+            edges = table(edges.unionByName(join_sized(spread, new, ["pattern"]).select("value", "pattern")).distinct(), "edges")
+        weighed = edges.join(asked, "pattern").join(scored, "value", "left")
         patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("s"), F.mode("kind", True).alias("kind"))
         strong = table(patterns.where((F.col("s") >= SUPPORT) & (F.col("s") >= PRECISION * F.col("n"))).select("pattern", "kind", (F.col("s") / (F.col("n") + 0.1)).alias("precision")), "patterns")
         miss = F.sum(F.log(1 - F.least("precision", F.lit(0.99))))
         reached = join_sized(edges, strong, ["pattern"]).groupBy("value").agg(F.max_by("kind", F.struct("precision", "kind")).alias("kind"), (1 - F.exp(miss)).alias("score"))
-        fresh = reached.where(F.col("score") >= ACCEPT).join(seeds, "value", "left_anti").select("value", "kind", "score")
-        scored = table(seeds.select("value", "kind", "score").unionByName(fresh), "scores")
-    near = join_sized(found.where("NOT covered"), scored.where(f"kind IS NOT NULL AND score >= {ACCEPT}"), ["value"])
-    spoken = join_sized(near.select("doc_id", "th", "start", "stop", "kind", "seed", F.explode("patterns").alias("pattern")), strong.select("pattern", F.lit(True).alias("ok")), ["pattern"], "left")
-    good = spoken.where(F.col("ok") | F.col("seed").isNotNull()).select("doc_id", "th", "start", "stop", "kind").distinct()
-    span = F.struct(F.col("start").cast("int"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), "kind").alias("kind"), F.col("stop").cast("int"))
-    return good.groupBy("doc_id", "th").agg(F.collect_set(span).cast(SPAN).alias("extra"))
+        fresh = table(reached.where(F.col("score") >= ACCEPT).join(seeds, "value", "left_anti").select("value", "kind", "score"), "fresh")
+        if fresh.isEmpty():
+            scored = seeds
+            break
+        around = table(join_sized(spread, fresh.select("value"), ["value"]).groupBy("value", "pattern").count(), "around")
+        left, ok = F.col("pattern").startswith("L "), F.col("ok").isNotNull()
+        sums = [F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (left & ok, ~left & ok, left)]
+        held_in = around.join(strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
+        fresh = table(fresh.join(held_in.where(F.col("share") >= SHARE).select("value"), "value"), "fresh")
+        edges = table(edges.unionByName(around.join(fresh, "value", "left_semi").select("value", "pattern")).distinct(), "edges")
+        scored = table(seeds.unionByName(fresh), "scores")
+    spots = found.where(F.col("kind") == SEED).select("doc_id", "th", "k", "value", "kind")
+    fresh = scored.join(seeds, "value", "left_anti")
+    if not fresh.isEmpty():
+        near = join_sized(places, table(fresh.select("value", "kind"), "accepted"), ["value"])
+        spoken = join_sized(near.select("doc_id", "th", "k", "value", "kind", F.explode("patterns").alias("pattern")), strong.select("pattern"), ["pattern"])
+        spots = spots.unionByName(spoken.select("doc_id", "th", "k", "value", "kind"))
+    one = F.struct("k", F.length("value").alias("n"), "kind")
+    spots = table(spots.groupBy("doc_id", "th").agg(F.collect_set(one).alias("spots")), "spots")
+    long = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+
+    def span(s: Column) -> Column:
+        start = long(F.col("cuts"), s["k"] + 1) + long(F.col("values"), s["k"])
+        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), s["kind"]).alias("kind"), (start + s["n"]).alias("stop"))
+
+    texts = join_sized(_units(docs, held), spots, ["doc_id", "th"]).withColumn("cuts", F.split("masked", UNIT, -1))
+    return texts.select("doc_id", "th", F.transform("spots", span).cast(SPAN).alias("extra")).dropDuplicates(["doc_id", "th"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -166,7 +239,7 @@ def spans(docs: DataFrame) -> DataFrame:
     Spans that start together are ordered by kind as listed, those of the method last.
     """
     rows = table(base(docs), "base")
-    extra = table(discover(rows), "extra")
+    extra = table(discover(docs, rows), "extra")
     return join_sized(rows.select("doc_id", "th", "base"), extra, ["doc_id", "th"], "left").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
 
 
@@ -191,7 +264,7 @@ def redact(text: Column, found: Column) -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; n_chars, where there is one, follows."""
     rows = table(base(docs), "base")
-    extra = table(discover(rows), "extra").withColumnsRenamed({"doc_id": "__id", "th": "__th", "extra": "__extra"})
+    extra = table(discover(docs, rows), "extra").withColumnsRenamed({"doc_id": "__id", "th": "__th", "extra": "__extra"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text))
     joined = join_sized(keyed, extra, ["__id", "__th"], "left")
