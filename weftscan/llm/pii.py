@@ -12,13 +12,14 @@ the JVM. Patterns are possessive, or anchored at the start of a run, so that the
 
 from __future__ import annotations
 
-
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..operators.regex_scan import starts
 from .store import join_sized, table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -41,8 +42,8 @@ ROUNDS = 3
 PRECISION, SUPPORT, ACCEPT = 0.8, 3.0, 0.85
 #: An instance stands in strong patterns at this share of its places at least: else it is a common word that came there.
 SHARE = 0.5
-#: Characters of context that are looked at on either side.
-CONTEXT = 80
+#: Code points of a block: what finding a place in a text costs at most.
+BLOCK = 1024
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,22 +71,19 @@ def _gate(kind: str, text: Column) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, m, before, after>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start, stop, m>> of the leftmost non-overlapping matches, in code points; linear in text and matches."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = let(gaps, lambda cut: F.transform(found, lambda m, k: F.struct(m.alias("m"), F.get(cut, k).alias("g"), F.get(cut, k + 1).alias("h"))))
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,m:string,g:string,h:string>>>"
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("g"), F.left(x["h"], F.lit(CONTEXT)).alias("h"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"])), lambda m, g: F.length(m) + F.length(g))
+        one = lambda m, k, sums: let(F.get(sums, k) + F.length(F.get(x["g"], k)), lambda at: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("m")))
+        return let(starts(steps), lambda sums: F.transform(x["m"], lambda m, k: one(m, k, sums)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-    return F.aggregate(both, zero, add)["out"]
+    return let(F.struct(found.alias("m"), gaps.alias("g")), placed)
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+RUN, VALUED = "array<struct<start:int,stop:int,kind:string>>", "array<struct<start:int,stop:int,kind:string,value:string>>"
 
 
 def base_spans(text: Column) -> Column:
@@ -103,133 +101,186 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with every character of a base span turned into MASK: of the same length, and each run of spans one unit."""
-    clean = F.translate(text, MASK, " ")
-    kind = "struct<at:int,out:string>"
+def _cut(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, in which a place is found without walking the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, stop: Column) -> Column:
+    """The code points from start to stop of a text that :func:`_cut` has cut."""
+
+    def piece(x: Column) -> Column:
+        i, j, a, b = x["i"], x["j"], x["a"], x["b"]
+        inner = F.when(j - i > 1, F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")).otherwise("")
+        far = F.concat(F.get(blocks, i).substr(a + 1, F.lit(BLOCK)), inner, F.coalesce(F.get(blocks, j).substr(F.lit(1), b), F.lit("")))
+        return F.when(stop <= start, F.lit("")).when(i == j, F.get(blocks, i).substr(a + 1, stop - start)).otherwise(far)
+
+    at = lambda v: F.floor(v / BLOCK).cast("int")
+    return let(F.struct(at(start).alias("i"), at(stop).alias("j"), (start % BLOCK).alias("a"), (stop % BLOCK).alias("b")), piece)
+
 
-    def add(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        more = F.concat(acc["out"], clean.substr(acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(MASK), F.greatest(s["stop"] - start, F.lit(0))))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out")).cast(kind)
+def _highest(xs: Column) -> Column:
+    """Exclusive running maxima of an array of counts, -1 before the first; block by block, so that their cost stays linear."""
+    grow = lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x)))
+    running = lambda part, low: F.slice(F.aggregate(part, F.array(low), grow), 1, F.size(part))
 
-    done = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), add)
-    return F.when(F.size(base) == 0, clean).otherwise(F.concat(done["out"], clean.substr(done["at"] + 1, F.length(text))))
+    def levelled(parts: Column) -> Column:
+        tops = F.transform(parts, F.array_max)
+        return let(running(tops, F.lit(-1)), lambda lows: F.flatten(F.transform(parts, lambda part, k: running(part, F.get(lows, k)))))
 
+    def cut(ys: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(ys) - 1) / 128).cast("int")), lambda k: F.slice(ys, k * 128 + 1, F.lit(128)))
+        return F.when(F.size(ys) <= 128, running(ys, F.lit(-1))).otherwise(let(parts, levelled))
 
-def _merged(base: Column) -> Column:
-    """Runs of base spans that touch, each with the kind of its first: one for each masked unit."""
-    kind = "array<struct<start:int,stop:int,kind:string>>"
+    return let(xs, cut)
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))))
-        return F.when(F.size(acc) == 0, fresh).when(s["start"] <= F.get(acc, F.size(acc) - 1)["stop"], longer).otherwise(fresh).cast(kind)
 
-    return F.aggregate(base, F.array().cast(kind), add)
+def _merged(found: Column, touching: bool) -> Column:
+    """array<struct<start, stop, kind>>: runs of sorted spans that overlap (or touch), each with the kind of its first."""
 
+    def merge(spans: Column) -> Column:
+        stops = F.transform(spans, lambda s: s["stop"])
+        level = F.transform(F.arrays_zip(spans.alias("s"), _highest(stops).alias("p")), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["p"].alias("p")))
+        heads = F.filter(level, lambda x: x["start"] > x["p"] if touching else x["start"] >= x["p"])
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(h["start"].alias("start"), F.coalesce(F.get(hs, k + 1)["p"], F.array_max(stops)).alias("stop"), h["kind"].alias("kind"))))
 
-def _units(docs: DataFrame, held: DataFrame, how: str = "left") -> DataFrame:
-    """doc_id, th, t, base, masked, values, words: the units of every text, as they stand and as words of a context.
+    return let(found, merge)
+
+
+def _replaced(text: Column, runs: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with what each of some disjoint sorted runs covers replaced by ``by`` of the run."""
+
+    def build(x: Column) -> Column:
+        blocks, rs = x["blocks"], x["runs"]
+        before = lambda r, k: _between(blocks, F.coalesce(F.get(rs, k - 1)["stop"], F.lit(0)), r["start"])
+        tail = _between(blocks, F.element_at(rs, -1)["stop"], F.length(text))
+        return F.concat(F.array_join(F.transform(rs, lambda r, k: F.concat(before(r, k), by(r))), ""), tail)
+
+    return F.when(F.size(runs) == 0, text).otherwise(let(F.struct(_cut(text).alias("blocks"), runs.alias("runs")), build))
+
+
+def _masked(text: Column, runs: Column) -> Column:
+    """The text with every character of a base span turned into MASK: of the same length, and each run of spans one unit."""
+    clean = F.when(text.contains(MASK), F.translate(text, MASK, " ")).otherwise(text)
+    return _replaced(clean, runs, lambda r: F.repeat(F.lit(MASK), r["stop"] - r["start"]))
 
-    A unit is a base span, a run of tokens that hold a digit, any other token, or punctuation. ``held`` has the base
-    spans of the texts that have some; ``how`` is inner if no other texts are wanted.
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """Stored: row, id, th, base, runs, secret, values, words of every whole text; a null counts as empty.
+
+    ``row`` holds all columns of the document. ``values`` are the units of the text as they stand, base spans masked, and
+    ``words`` the hashes of what they are in a context. A unit is a run of touching base spans, a run of tokens that
+    hold a digit, any other token, or punctuation. ``runs`` are the base spans as units, with what they cover.
     """
-    each = join_sized(_keyed(docs), held, ["doc_id", "th"], how).withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
-    each = each.withColumn("masked", _masked(F.col("t"), F.col("base")))
-    plain = F.regexp_replace(F.regexp_replace(F.lower("masked"), "[0-9]+", "9"), f"{MASK}+", MASK)
-    return each.withColumn("values", F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0))).withColumn("words", F.regexp_extract_all(plain, F.lit(UNIT), F.lit(0)))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("th"), _text().alias("t"))
+    found = keyed.withColumn("base", base_spans(F.col("t")))
+    merged = found.withColumn("runs", F.when(F.size("base") > 0, _merged(F.col("base"), True)).otherwise(F.array().cast(RUN)))
+    masked = merged.withColumn("masked", _masked(F.col("t"), F.col("runs")))
+    word = lambda v: F.xxhash64(F.when(v.startswith(MASK), F.lit(MASK)).otherwise(F.regexp_replace(F.lower(v), "[0-9]+", "9")))
+    value = lambda cut, r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), r["kind"].alias("kind"), _between(cut, r["start"], r["stop"]).alias("value"))
+    runs = F.when(F.size("runs") > 0, let(_cut(F.col("t")), lambda cut: F.transform("runs", lambda r: value(cut, r)))).otherwise(F.array().cast(VALUED))
+    each = masked.select("row", "id", "th", "base", runs.alias("runs"), F.col("masked").rlike("[0-9a-fA-F]{32}").alias("secret"), F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0)).alias("values"))
+    return table(each.withColumn("words", F.transform("values", word)), "units")
 
 
-def _patterns(w2: Column, w1: Column, r1: Column) -> Column:
-    """The lexical patterns of a slot: two words before; one word before and one after."""
-    return F.array(F.concat_ws(" ", F.lit("L"), w2, w1), F.concat_ws(" ", F.lit("B"), w1, r1))
+def _slots(at: Column) -> tuple[Column, Column]:
+    """The lexical patterns of a unit, hashed: two words before; one word before and one after."""
+    word = lambda d: F.get("words", at + d)
+    return F.xxhash64(F.lit(1), word(-2), word(-1)), F.xxhash64(F.lit(2), word(-1), word(1))
 
 
 def _places(units: DataFrame) -> DataFrame:
-    """doc_id, th, k, value, patterns of every unit that is no base span and holds a letter or a digit."""
-    edge = F.array(F.lit("^"))
-    zipped = F.arrays_zip(
-        F.col("values").alias("v"), F.concat(edge, edge, "words").alias("w2"), F.concat(edge, "words").alias("w1"),
-        F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("$"))).alias("r1"),
-    )
-    rows = units.select("doc_id", "th", F.posexplode(zipped).alias("k", "u")).select("doc_id", "th", "k", F.rtrim("u.v", F.lit("._%+@-")).alias("value"), _patterns(F.col("u.w2"), F.col("u.w1"), F.col("u.r1")).alias("patterns"))
-    return rows.where(F.col("value").rlike(r"[\p{L}\p{N}]"))
+    """id, th, k, value, left, both: every unit that is no base span and holds a letter or a digit, with its patterns."""
+
+    def one(v: Column, k: Column) -> Column:
+        left, both = _slots(k)
+        return F.struct(v.alias("v"), left.alias("left"), both.alias("both"))
+
+    rows = units.select("id", "th", F.posexplode(F.transform("values", one)).alias("k", "u"))
+    return rows.where(F.col("u.v").rlike(r"[\p{L}\p{N}]")).select("id", "th", "k", F.rtrim("u.v", F.lit("._%+@-")).alias("value"), "u.left", "u.both")
+
 
+def _spread(places: DataFrame) -> DataFrame:
+    return places.select("value", F.explode(F.array("left", "both")).alias("pattern"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
+def _seeds(units: DataFrame) -> DataFrame:
+    """id, th, k, value, kind, left, both of every base span and every secret."""
+    at = F.filter(F.transform("values", lambda v, k: F.when(v.startswith(MASK), k)), F.isnotnull)
 
-def base(docs: DataFrame) -> DataFrame:
-    """doc_id, th, base: the base spans of every whole text; a null counts as empty."""
-    return _keyed(docs).select("doc_id", "th", base_spans(F.col("t")).alias("base"))
+    def seeds(zipped: Column) -> Column:
+        def own(x: Column) -> Column:
+            left, both = _slots(x["k"])
+            return F.struct(x["k"].alias("k"), x["s"]["value"].alias("value"), x["s"]["kind"].alias("kind"), left.alias("left"), both.alias("both"))
 
+        return F.transform(zipped, own)
 
-def _seeds(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """doc_id, th, k, value, kind, patterns of every base span and every secret."""
-    own = _units(docs, held, "inner")
-    at = F.filter(F.sequence(F.lit(0), F.size("values") - 1), lambda k: F.get("values", k).startswith(MASK))
-    each = own.select("doc_id", "th", "t", "words", F.explode(F.arrays_zip(at.alias("k"), _merged(F.col("base")).alias("s"))).alias("x")).select("doc_id", "th", "t", "words", "x.k", "x.s")
-    word = lambda d, edge: F.coalesce(F.when(F.col("k") + d >= 0, F.get("words", F.col("k") + d)), F.lit(edge))
-    value = F.col("t").substr(F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
-    spans = each.select("doc_id", "th", "k", value.alias("value"), F.col("s.kind").alias("kind"), _patterns(word(-2, "^"), word(-1, "^"), word(1, "$")).alias("patterns"))
-    secrets = _places(_units(docs.where(F.col("text").cast("string").rlike("[0-9a-fA-F]{32}")), held)).where(F.col("value").rlike(SECRET))
-    return spans.unionByName(secrets.withColumn("kind", F.lit(SEED)))
+    spans = units.where(F.size("runs") > 0).select("id", "th", F.inline(seeds(F.arrays_zip(at.alias("k"), F.col("runs").alias("s")))))
+    secrets = _places(units.where("secret")).where(F.col("value").rlike(SECRET)).withColumn("kind", F.lit(SEED))
+    return spans.unionByName(secrets)
 
 
-def discover(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``rows`` is what :func:`base` gives for ``docs``.
+def discover(units: DataFrame) -> DataFrame:
+    """id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``units`` is what :func:`prepared` gives.
 
-    Texts are read anew for the slots of patterns that seeds could make strong, and for all places of what is accepted.
+    Units are read anew for the slots of patterns that seeds could make strong, and for the places of what is accepted.
     """
-    held = table(rows.where(F.size("base") > 0).dropDuplicates(["doc_id", "th"]), "held")
-    found = table(_seeds(docs, held), "instances")
-    places = _places(_units(docs, held))
-    spread = places.select("value", F.explode("patterns").alias("pattern"))
-    seeds = table(found.groupBy("value").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score")), "seeds")
-    edges = table(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "edges")
-    scored, asked, strong = seeds, None, None
+    found = table(_seeds(units), "instances")
+    places = _places(units)
+    spread = _spread(places)
+    scored = seeds = found.groupBy("value").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score"))
+    edges = _spread(found).distinct()
+    asked, strong, accepted = None, None, None
     for _ in range(ROUNDS):
         likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).select("pattern")
-        new = table(likely.join(asked, "pattern", "left_anti") if asked is not None else likely, "asked")
-        asked = table(asked.unionByName(new), "asked") if asked is not None else new
+        new = table(likely if asked is None else likely.join(asked, "pattern", "left_anti"), "asked")
+        asked = new if asked is None else asked.unionByName(new)
         if not new.isEmpty():
-            edges = table(edges.unionByName(join_sized(spread, new, ["pattern"]).select("value", "pattern")).distinct(), "edges")
+            edges = table(edges.unionByName(join_sized(spread, new, ["pattern"], nulls=False).select("value", "pattern")).distinct(), "edges")
         weighed = edges.join(asked, "pattern").join(scored, "value", "left")
         patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("s"), F.mode("kind", True).alias("kind"))
         strong = table(patterns.where((F.col("s") >= SUPPORT) & (F.col("s") >= PRECISION * F.col("n"))).select("pattern", "kind", (F.col("s") / (F.col("n") + 0.1)).alias("precision")), "patterns")
         miss = F.sum(F.log(1 - F.least("precision", F.lit(0.99))))
-        reached = join_sized(edges, strong, ["pattern"]).groupBy("value").agg(F.max_by("kind", F.struct("precision", "kind")).alias("kind"), (1 - F.exp(miss)).alias("score"))
+        reached = join_sized(edges, strong, ["pattern"], nulls=False).groupBy("value").agg(F.max_by("kind", F.struct("precision", "kind")).alias("kind"), (1 - F.exp(miss)).alias("score"))
         fresh = table(reached.where(F.col("score") >= ACCEPT).join(seeds, "value", "left_anti").select("value", "kind", "score"), "fresh")
         if fresh.isEmpty():
-            scored = seeds
+            accepted = None
             break
-        around = table(join_sized(spread, fresh.select("value"), ["value"]).groupBy("value", "pattern").count(), "around")
-        left, ok = F.col("pattern").startswith("L "), F.col("ok").isNotNull()
-        sums = [F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (left & ok, ~left & ok, left)]
-        held_in = around.join(strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
-        fresh = table(fresh.join(held_in.where(F.col("share") >= SHARE).select("value"), "value"), "fresh")
-        edges = table(edges.unionByName(around.join(fresh, "value", "left_semi").select("value", "pattern")).distinct(), "edges")
-        scored = table(seeds.unionByName(fresh), "scores")
-    spots = found.where(F.col("kind") == SEED).select("doc_id", "th", "k", "value", "kind")
-    fresh = scored.join(seeds, "value", "left_anti")
-    if not fresh.isEmpty():
-        near = join_sized(places, table(fresh.select("value", "kind"), "accepted"), ["value"])
-        spoken = join_sized(near.select("doc_id", "th", "k", "value", "kind", F.explode("patterns").alias("pattern")), strong.select("pattern"), ["pattern"])
-        spots = spots.unionByName(spoken.select("doc_id", "th", "k", "value", "kind"))
+        around = table(join_sized(places, fresh.select("value"), ["value"], nulls=False).groupBy("value", "left", "both").count(), "around")
+        ways = around.select("value", "count", F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("left").alias("pattern")), F.struct(F.lit(False).alias("is_left"), F.col("both").alias("pattern")))))
+        ok = F.col("ok").isNotNull()
+        sums = [F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (F.col("is_left") & ok, ~F.col("is_left") & ok, F.col("is_left"))]
+        held_in = ways.join(strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
+        accepted = table(fresh.join(held_in.where(F.col("share") >= SHARE).select("value"), "value"), "accepted")
+        edges = edges.unionByName(ways.join(accepted, "value", "left_semi").select("value", "pattern")).distinct()
+        scored = seeds.unionByName(accepted)
+    spots = found.where(F.col("kind") == SEED).select("id", "th", "k", "value", "kind")
+    if accepted is not None and not accepted.isEmpty():
+        near = join_sized(places, accepted.select("value", "kind"), ["value"], nulls=False)
+        spoken = join_sized(near.select("id", "th", "k", "value", "kind", F.explode(F.array("left", "both")).alias("pattern")), strong.select("pattern"), ["pattern"], nulls=False)
+        spots = spots.unionByName(spoken.select("id", "th", "k", "value", "kind"))
     one = F.struct("k", F.length("value").alias("n"), "kind")
-    spots = table(spots.groupBy("doc_id", "th").agg(F.collect_set(one).alias("spots")), "spots")
-    long = lambda parts, n: F.length(F.array_join(F.slice(parts, F.lit(1), n), ""))
+    spots = table(spots.groupBy("id", "th").agg(F.collect_set(one).alias("spots")), "spots")
+    texts = join_sized(units.select("id", "th", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), "runs", "values"), spots, ["id", "th"])
+    cuts = texts.withColumn("cuts", F.transform(F.split(_masked(F.col("t"), F.col("runs")), UNIT, -1), F.length))
+    steps = cuts.withColumn("sums", starts(F.zip_with(F.slice("cuts", F.lit(1), F.size("values")), "values", lambda g, v: g + F.length(v))))
 
-    def span(s: Column) -> Column:
-        start = long(F.col("cuts"), s["k"] + 1) + long(F.col("values"), s["k"])
-        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), s["kind"]).alias("kind"), (start + s["n"]).alias("stop"))
+    def span(z: Column, s: Column) -> Column:
+        return let(F.get(z["sums"], s["k"]) + F.get(z["cuts"], s["k"]), lambda at: F.struct(at.alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), s["kind"]).alias("kind"), (at + s["n"]).alias("stop")))
 
-    texts = join_sized(_units(docs, held), spots, ["doc_id", "th"]).withColumn("cuts", F.split("masked", UNIT, -1))
-    return texts.select("doc_id", "th", F.transform("spots", span).cast(SPAN).alias("extra")).dropDuplicates(["doc_id", "th"])
+    extra = let(F.struct("sums", "cuts"), lambda z: F.transform("spots", lambda s: span(z, s)))
+    return steps.select("id", "th", extra.cast(SPAN).alias("extra")).dropDuplicates(["id", "th"])
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """row, id, th, base, extra of every row of ``docs``."""
+    units = prepared(docs)
+    extra = table(discover(units), "extra")
+    return join_sized(units.select("row", "id", "th", "base"), extra, ["id", "th"], "left").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -238,9 +289,7 @@ def spans(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows, and rows whose doc_id is null, get the spans of their own text.
     Spans that start together are ordered by kind as listed, those of the method last.
     """
-    rows = table(base(docs), "base")
-    extra = table(discover(docs, rows), "extra")
-    return join_sized(rows.select("doc_id", "th", "base"), extra, ["doc_id", "th"], "left").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
+    return _found(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "th", "base", "extra")
 
 
 def _all(base: Column | str = "base", extra: Column | str = "extra") -> Column:
@@ -249,30 +298,21 @@ def _all(base: Column | str = "base", extra: Column | str = "extra") -> Column:
 
 def redact(text: Column, found: Column) -> Column:
     """The text with every span, or run of overlapping spans, replaced by the name of its first kind in angle brackets."""
-    kind = "struct<at:int,out:string>"
-
-    def add(acc: Column, s: Column) -> Column:
-        before = text.substr(acc["at"] + 1, s["start"] - acc["at"])
-        name = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        fresh = F.struct(s["stop"].alias("at"), F.concat(acc["out"], before, name).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).cast(kind)
-
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), add)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    named = lambda r: F.concat(F.lit("<"), F.upper(r["kind"]), F.lit(">"))
+    return F.when(F.size(found) == 0, text).otherwise(_replaced(text, _merged(found, False), named))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind; n_chars, where there is one, follows."""
-    rows = table(base(docs), "base")
-    extra = table(discover(docs, rows), "extra").withColumnsRenamed({"doc_id": "__id", "th": "__th", "extra": "__extra"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text))
-    joined = join_sized(keyed, extra, ["__id", "__th"], "left")
-    found = _all(base_spans(text), F.coalesce("__extra", F.array().cast(SPAN)))
-    out = joined.withColumn("__found", found).withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("__found"))))
+    """All documents, personal data in their texts replaced by its kind; n_chars, where there is one, follows.
+
+    Nulls in any column stay, repeated rows are all kept, and columns may have any names: they travel inside ``row``.
+    """
+    rows = _found(docs).withColumn("found", _all())
+    out = rows.withColumn("clean", F.when(F.col("row.text").isNotNull(), redact(F.col("row.text").cast("string"), F.col("found"))))
+    change = {"text": F.col("clean").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        change["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[change.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast; each caller's rows are of a fixed width of some 100 bytes at most.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes of a side that may be broadcast; both are counted before each join.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 24 << 20
 #: Rows in an Arrow batch: whole documents, so batches stay small.
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
@@ -48,14 +49,35 @@ def narrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on null-safe equality; ``small`` is broadcast only if it is counted at ``limit`` rows or fewer.
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """What a value takes in a hashed relation, in bytes, whatever its type."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, kind.elementType))
+        return F.coalesce(inner, F.lit(0).cast("long")) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
 
-    Beyond the limit it is an ordinary shuffled join, whose hot keys adaptive execution splits.
-    ``small`` should be a stored table, as it is counted here and read again.
+
+def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table has at most ``rows`` rows and ``size`` bytes, as counted over at most ``rows`` + 1 of them."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in small.schema), F.lit(16).cast("long"))
+    n, total = small.limit(rows + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return n <= rows and (total or 0) <= size
+
+
+def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, nulls: bool = True) -> DataFrame:
+    """Join on null-safe equality; ``small`` is broadcast only if it is counted at ``limit`` rows or fewer and BROADCAST_BYTES.
+
+    Beyond the limits it is an ordinary shuffled join, whose hot keys adaptive execution splits. ``small`` should be a
+    stored table, as it is counted here and read again. Without ``nulls`` keys are compared by plain equality.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if fits_broadcast(small, limit):
         small = F.broadcast(small)
+    if not nulls:
+        return df.join(small, on, how)
     for c in on:
         small = small.withColumnRenamed(c, f"__{c}")
     cond = None
