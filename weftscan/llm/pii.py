@@ -33,9 +33,9 @@ PATTERNS = {
 }
 #: What stands for the characters of a base span, those of a token, and the units of a text.
 MASK = "\ue000"
-_OF = r"[\p{L}\p{N}\p{M}._%+@-]"
-_NUMBER = r"(?=[\p{L}\p{M}._%+@-]*+\p{N})" + _OF + "++"
-UNIT = rf"{MASK}++|{_NUMBER}(?:\x20{_NUMBER}){{0,9}}+|{_OF}++|[^\p{{L}}\p{{N}}\p{{M}}._%+@\s\"'{MASK}-]++"
+_LETTERS, _OF = r"[\p{L}\p{M}._%+@-]", r"[\p{L}\p{N}\p{M}._%+@-]"
+_RUN = rf"(?:\x20{_LETTERS}*+\p{{N}}{_OF}*+){{0,9}}+"
+UNIT = rf"{MASK}++|{_LETTERS}++(?:\p{{N}}{_OF}*+{_RUN})?+|\p{{N}}{_OF}*+{_RUN}|[^\p{{L}}\p{{N}}\p{{M}}._%+@\s\"'{MASK}-]++"
 SECRET = r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]{32,64}$"
 ROUNDS = 3
 #: A pattern is strong with this precision over distinct instances and this much seed weight; an instance is accepted at this score.
@@ -172,36 +172,38 @@ def _text() -> Column:
 def prepared(docs: DataFrame) -> DataFrame:
     """Stored: row, id, th, base, runs, secret, values, words of every whole text; a null counts as empty.
 
-    ``row`` holds all columns of the document. ``values`` are the units of the text as they stand, base spans masked, and
-    ``words`` the hashes of what they are in a context. A unit is a run of touching base spans, a run of tokens that
-    hold a digit, any other token, or punctuation. ``runs`` are the base spans as units, with what they cover.
+    ``row`` holds all columns of the document. A unit is a run of touching base spans, a run of tokens that hold a digit,
+    any other token, or punctuation. ``values`` are the units as they stand without trailing marks, MASK for base spans
+    and empty for punctuation; ``words`` are hashes of what units are in a context. ``runs`` are the base spans as
+    units, with what they cover.
     """
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("th"), _text().alias("t"))
     found = keyed.withColumn("base", base_spans(F.col("t")))
     merged = found.withColumn("runs", F.when(F.size("base") > 0, _merged(F.col("base"), True)).otherwise(F.array().cast(RUN)))
     masked = merged.withColumn("masked", _masked(F.col("t"), F.col("runs")))
-    word = lambda v: F.xxhash64(F.when(v.startswith(MASK), F.lit(MASK)).otherwise(F.regexp_replace(F.lower(v), "[0-9]+", "9")))
     value = lambda cut, r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), r["kind"].alias("kind"), _between(cut, r["start"], r["stop"]).alias("value"))
     runs = F.when(F.size("runs") > 0, let(_cut(F.col("t")), lambda cut: F.transform("runs", lambda r: value(cut, r)))).otherwise(F.array().cast(VALUED))
-    each = masked.select("row", "id", "th", "base", runs.alias("runs"), F.col("masked").rlike("[0-9a-fA-F]{32}").alias("secret"), F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0)).alias("values"))
-    return table(each.withColumn("words", F.transform("values", word)), "units")
+    held = lambda v: F.when(v.startswith(MASK), F.lit(MASK)).when(v.rlike(r"[\p{L}\p{N}]"), F.rtrim(v, F.lit("._%+@-"))).otherwise("")
+    plain = F.regexp_replace(F.regexp_replace(F.lower("masked"), "[0-9]++", "9"), f"{MASK}++", MASK)
+    units = lambda text: F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    each = masked.select(
+        "row", "id", "th", "base", runs.alias("runs"), F.col("masked").rlike("[0-9a-fA-F]{32}").alias("secret"),
+        F.transform(units("masked"), held).alias("values"), F.transform(units(plain), lambda w: F.xxhash64(w)).alias("words"),
+    )
+    return table(each, "units")
 
 
-def _slots(at: Column) -> tuple[Column, Column]:
+def _slots(w2: Column, w1: Column, r1: Column) -> tuple[Column, Column]:
     """The lexical patterns of a unit, hashed: two words before; one word before and one after."""
-    word = lambda d: F.get("words", at + d)
-    return F.xxhash64(F.lit(1), word(-2), word(-1)), F.xxhash64(F.lit(2), word(-1), word(1))
+    return F.xxhash64(F.lit(1), w2, w1).alias("left"), F.xxhash64(F.lit(2), w1, r1).alias("both")
 
 
 def _places(units: DataFrame) -> DataFrame:
     """id, th, k, value, left, both: every unit that is no base span and holds a letter or a digit, with its patterns."""
-
-    def one(v: Column, k: Column) -> Column:
-        left, both = _slots(k)
-        return F.struct(v.alias("v"), left.alias("left"), both.alias("both"))
-
-    rows = units.select("id", "th", F.posexplode(F.transform("values", one)).alias("k", "u"))
-    return rows.where(F.col("u.v").rlike(r"[\p{L}\p{N}]")).select("id", "th", "k", F.rtrim("u.v", F.lit("._%+@-")).alias("value"), "u.left", "u.both")
+    edge = F.array(F.lit(None).cast("long"))
+    zipped = F.arrays_zip(F.col("values").alias("v"), F.concat(edge, edge, "words").alias("w2"), F.concat(edge, "words").alias("w1"), F.slice("words", F.lit(2), F.size("words")).alias("r1"))
+    rows = units.select("id", "th", F.posexplode(zipped).alias("k", "u")).where((F.col("u.v") != "") & (F.col("u.v") != MASK))
+    return rows.select("id", "th", "k", F.col("u.v").alias("value"), *_slots(F.col("u.w2"), F.col("u.w1"), F.col("u.r1")))
 
 
 def _spread(places: DataFrame) -> DataFrame:
@@ -210,16 +212,13 @@ def _spread(places: DataFrame) -> DataFrame:
 
 def _seeds(units: DataFrame) -> DataFrame:
     """id, th, k, value, kind, left, both of every base span and every secret."""
-    at = F.filter(F.transform("values", lambda v, k: F.when(v.startswith(MASK), k)), F.isnotnull)
-
-    def seeds(zipped: Column) -> Column:
-        def own(x: Column) -> Column:
-            left, both = _slots(x["k"])
-            return F.struct(x["k"].alias("k"), x["s"]["value"].alias("value"), x["s"]["kind"].alias("kind"), left.alias("left"), both.alias("both"))
+    at = F.filter(F.transform("values", lambda v, k: F.when(v == MASK, k)), F.isnotnull)
 
-        return F.transform(zipped, own)
+    def own(x: Column) -> Column:
+        word = lambda d: F.get("words", x["k"] + d)
+        return F.struct(x["k"].alias("k"), x["s"]["value"].alias("value"), x["s"]["kind"].alias("kind"), *_slots(word(-2), word(-1), word(1)))
 
-    spans = units.where(F.size("runs") > 0).select("id", "th", F.inline(seeds(F.arrays_zip(at.alias("k"), F.col("runs").alias("s")))))
+    spans = units.where(F.size("runs") > 0).select("id", "th", F.inline(F.transform(F.arrays_zip(at.alias("k"), F.col("runs").alias("s")), own)))
     secrets = _places(units.where("secret")).where(F.col("value").rlike(SECRET)).withColumn("kind", F.lit(SEED))
     return spans.unionByName(secrets)
 
@@ -265,9 +264,10 @@ def discover(units: DataFrame) -> DataFrame:
         spots = spots.unionByName(spoken.select("id", "th", "k", "value", "kind"))
     one = F.struct("k", F.length("value").alias("n"), "kind")
     spots = table(spots.groupBy("id", "th").agg(F.collect_set(one).alias("spots")), "spots")
-    texts = join_sized(units.select("id", "th", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), "runs", "values"), spots, ["id", "th"])
-    cuts = texts.withColumn("cuts", F.transform(F.split(_masked(F.col("t"), F.col("runs")), UNIT, -1), F.length))
-    steps = cuts.withColumn("sums", starts(F.zip_with(F.slice("cuts", F.lit(1), F.size("values")), "values", lambda g, v: g + F.length(v))))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    texts = join_sized(units.select("id", "th", _masked(text, F.col("runs")).alias("masked")), spots, ["id", "th"])
+    cuts = texts.withColumn("cuts", F.transform(F.split("masked", UNIT, -1), F.length)).withColumn("units", F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0)))
+    steps = cuts.withColumn("sums", starts(F.zip_with(F.slice("cuts", F.lit(1), F.size("units")), "units", lambda g, v: g + F.length(v))))
 
     def span(z: Column, s: Column) -> Column:
         return let(F.get(z["sums"], s["k"]) + F.get(z["cuts"], s["k"]), lambda at: F.struct(at.alias("start"), F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("context_"), s["kind"]).alias("kind"), (at + s["n"]).alias("stop")))
