@@ -42,6 +42,10 @@ ROUNDS = 3
 PRECISION, SUPPORT, ACCEPT = 0.8, 3.0, 0.85
 #: An instance stands in strong patterns at this share of its places at least: else it is a common word that came there.
 SHARE = 0.5
+#: Patterns are tried on one of so many texts before they are tried on all.
+PARTS = [64, 8]
+#: How units are stored: their dictionaries are large, and pages pack well.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)}
 #: Code points of a block: what finding a place in a text costs at most.
 BLOCK = 1024
 
@@ -169,18 +173,26 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def prepared(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("th"), _text().alias("t"))
+
+
+def _with_runs(texts: DataFrame) -> DataFrame:
+    """Add base, runs and the masked text to texts ``t``."""
+    found = texts.withColumn("base", base_spans(F.col("t")))
+    merged = found.withColumn("runs", F.when(F.size("base") > 0, _merged(F.col("base"), True)).otherwise(F.array().cast(RUN)))
+    return merged.withColumn("masked", _masked(F.col("t"), F.col("runs")))
+
+
+def prepared(docs: DataFrame, row: Column) -> DataFrame:
     """Stored: row, id, th, base, runs, secret, values, words of every whole text; a null counts as empty.
 
-    ``row`` holds all columns of the document. A unit is a run of touching base spans, a run of tokens that hold a digit,
+    ``row`` is what of a document travels along. A unit is a run of touching base spans, a run of tokens that hold a digit,
     any other token, or punctuation. ``values`` are the units as they stand without trailing marks, MASK for base spans
     and empty for punctuation; ``words`` are hashes of what units are in a context. ``runs`` are the base spans as
     units, with what they cover.
     """
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(_text()).alias("th"), _text().alias("t"))
-    found = keyed.withColumn("base", base_spans(F.col("t")))
-    merged = found.withColumn("runs", F.when(F.size("base") > 0, _merged(F.col("base"), True)).otherwise(F.array().cast(RUN)))
-    masked = merged.withColumn("masked", _masked(F.col("t"), F.col("runs")))
+    masked = _with_runs(_keyed(docs, row.alias("row")))
     value = lambda cut, r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), r["kind"].alias("kind"), _between(cut, r["start"], r["stop"]).alias("value"))
     runs = F.when(F.size("runs") > 0, let(_cut(F.col("t")), lambda cut: F.transform("runs", lambda r: value(cut, r)))).otherwise(F.array().cast(VALUED))
     held = lambda v: F.when(v.startswith(MASK), F.lit(MASK)).when(v.rlike(r"[\p{L}\p{N}]"), F.rtrim(v, F.lit("._%+@-"))).otherwise("")
@@ -190,7 +202,7 @@ def prepared(docs: DataFrame) -> DataFrame:
         "row", "id", "th", "base", runs.alias("runs"), F.col("masked").rlike("[0-9a-fA-F]{32}").alias("secret"),
         F.transform(units("masked"), held).alias("values"), F.transform(units(plain), lambda w: F.xxhash64(w)).alias("words"),
     )
-    return table(each, "units")
+    return table(each, "units", **PACKED)
 
 
 def _slots(w2: Column, w1: Column, r1: Column) -> tuple[Column, Column]:
@@ -223,8 +235,22 @@ def _seeds(units: DataFrame) -> DataFrame:
     return spans.unionByName(secrets)
 
 
-def discover(units: DataFrame) -> DataFrame:
-    """id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``units`` is what :func:`prepared` gives.
+def _promising(units: DataFrame, likely: DataFrame) -> DataFrame:
+    """Stored: those of the patterns (pattern, s) that can still be precise enough.
+
+    A pattern holds at least as many values in all texts as in some, so what too many values share in a part of the
+    texts is left out before larger parts are read for it. No pattern is lost that would be strong.
+    """
+    for part in PARTS:
+        some = join_sized(_spread(_places(units.where(F.pmod(F.col("th"), F.lit(part)) == 0))), likely.select("pattern"), ["pattern"], nulls=False)
+        held = some.distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+        kept = likely.join(held, "pattern", "left").where(F.col("s") >= PRECISION * F.coalesce("n", F.lit(0)))
+        likely = table(kept.select("pattern", "s"), "likely")
+    return likely.select("pattern")
+
+
+def discover(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``units`` is what :func:`prepared` gives for ``docs``.
 
     Units are read anew for the slots of patterns that seeds could make strong, and for the places of what is accepted.
     """
@@ -235,8 +261,8 @@ def discover(units: DataFrame) -> DataFrame:
     edges = _spread(found).distinct()
     asked, strong, accepted = None, None, None
     for _ in range(ROUNDS):
-        likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT).select("pattern")
-        new = table(likely if asked is None else likely.join(asked, "pattern", "left_anti"), "asked")
+        likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT)
+        new = _promising(units, table(likely if asked is None else likely.join(asked, "pattern", "left_anti"), "likely"))
         asked = new if asked is None else asked.unionByName(new)
         if not new.isEmpty():
             edges = table(edges.unionByName(join_sized(spread, new, ["pattern"], nulls=False).select("value", "pattern")).distinct(), "edges")
@@ -264,8 +290,7 @@ def discover(units: DataFrame) -> DataFrame:
         spots = spots.unionByName(spoken.select("id", "th", "k", "value", "kind"))
     one = F.struct("k", F.length("value").alias("n"), "kind")
     spots = table(spots.groupBy("id", "th").agg(F.collect_set(one).alias("spots")), "spots")
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    texts = join_sized(units.select("id", "th", _masked(text, F.col("runs")).alias("masked")), spots, ["id", "th"])
+    texts = _with_runs(join_sized(_keyed(docs), spots, ["id", "th"])).select("id", "th", "spots", "masked")
     cuts = texts.withColumn("cuts", F.transform(F.split("masked", UNIT, -1), F.length)).withColumn("units", F.regexp_extract_all("masked", F.lit(UNIT), F.lit(0)))
     steps = cuts.withColumn("sums", starts(F.zip_with(F.slice("cuts", F.lit(1), F.size("units")), "units", lambda g, v: g + F.length(v))))
 
@@ -276,10 +301,10 @@ def discover(units: DataFrame) -> DataFrame:
     return steps.select("id", "th", extra.cast(SPAN).alias("extra")).dropDuplicates(["id", "th"])
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, row: Column) -> DataFrame:
     """row, id, th, base, extra of every row of ``docs``."""
-    units = prepared(docs)
-    extra = table(discover(units), "extra")
+    units = prepared(docs, row)
+    extra = table(discover(docs, units), "extra")
     return join_sized(units.select("row", "id", "th", "base"), extra, ["id", "th"], "left").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
 
 
@@ -289,7 +314,7 @@ def spans(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows, and rows whose doc_id is null, get the spans of their own text.
     Spans that start together are ordered by kind as listed, those of the method last.
     """
-    return _found(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), "th", "base", "extra")
+    return _found(docs.select("doc_id", "text"), F.struct("doc_id")).select(F.col("id").alias("doc_id"), "th", "base", "extra")
 
 
 def _all(base: Column | str = "base", extra: Column | str = "extra") -> Column:
@@ -307,7 +332,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Nulls in any column stay, repeated rows are all kept, and columns may have any names: they travel inside ``row``.
     """
-    rows = _found(docs).withColumn("found", _all())
+    rows = _found(docs, F.struct("*")).withColumn("found", _all())
     out = rows.withColumn("clean", F.when(F.col("row.text").isNotNull(), redact(F.col("row.text").cast("string"), F.col("found"))))
     change = {"text": F.col("clean").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:

@@ -35,11 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, and lost executors cost only a reread."""
+def table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, and lost executors cost only a reread.
+
+    ``options`` go to the Parquet writer.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
