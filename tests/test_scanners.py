@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftscan.functions.tags import VOCABULARY
 from weftscan.operators import regex_scan
 from weftscan.operators.extract import scan as scan_column
-from weftscan.operators.lexicons import SCANNERS, scan
+from weftscan.operators.lexicons import SCANNERS, names_module, scan
 from weftscan.operators.walker.walk import GRAMMARS, segments
 
 ALPHABETS = {
@@ -186,3 +186,18 @@ def test_the_walker_is_total(grammar):
         assert {t for s in found for t in s[5]} <= set(VOCABULARY["syntax-tree"])
 
     check()
+
+
+@pytest.mark.parametrize("opening, closing", [("f(", ")"), ("[", "]"), ("{", "}"), ("!", ""), ("typeof ", "")])
+def test_nesting_does_not_end_the_walk(opening, closing):
+    """Ten times the levels that once lost the rest of a file."""
+    text = f"x = {opening * 30_000}'in'{closing * 30_000}\nconst after = 'text' // note\n"
+    found = [s[2] for s in segments("typescript", text)]
+    assert [t for t in found if t in ("after", "text", "note")] == ["after", "text", "note"]
+
+
+def test_module_words():
+    yes = ["import ", "from\t", "import(", "require \n( ", "x;from ", "import" + " " * 100 + "("]
+    no = ["", "(", "xfrom ", "$import", "require ", "from(", "importer(", "from" * 9 + "x "]
+    assert all(names_module(t + "'a'", len(t)) for t in yes)
+    assert not any(names_module(t + "'a'", len(t)) for t in no)

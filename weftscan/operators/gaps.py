@@ -56,5 +56,11 @@ def fill_array(segments: Column, content: Column, tags: tuple[str, ...] = ("code
 
 
 def coverage(segments: Column, content: Column) -> Column:
-    """Whether the segments' sources, joined in order, are the whole content."""
-    return F.array_join(F.transform(segments, lambda s: content.substr(s["start"] + 1, s["end"] - s["start"])), "") == content
+    """Whether the segments' sources, joined in order, are the whole content: each begins where the one before it ends."""
+
+    def whole(own: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(own, k)["end"], F.lit(0))
+        meets = F.forall(F.transform(own, lambda s, k: s["start"] == end(k - 1)), lambda x: x)
+        return meets & (end(F.size(own) - 1) == F.length(content))
+
+    return let(segments, whole)

@@ -171,19 +171,26 @@ RUST = _lexicon(
 _REGEX = re.compile(r"/(?:[^\n\\\[/]++|\\.|\[(?:[^\n\\\]]++|\\.)*+\])*+/[A-Za-z]*+", re.S)
 
 
-def _operand_before(text: str, at: int, word: str, ends: str, keywords: frozenset[str]) -> bool:
+def _ended(text: str, at: int, blanks: str) -> int:
+    """Where the text before ``at`` ends, its last blanks aside."""
+    while at > 0:
+        part = text[max(0, at - 32) : at]
+        if kept := part.rstrip(blanks):
+            return at - len(part) + len(kept)
+        at -= len(part)
+    return 0
+
+
+#: A word at the end of what is looked at: longer ones than any keyword need not be whole.
+_LAST_WORD = {extra: re.compile(rf"[A-Za-z0-9{extra}]*\Z") for extra in ("_", "_$")}
+
+
+def _value_before(text: str, at: int, extra: str, ends: str, keywords: frozenset[str]) -> bool:
     """Whether a value ends just before ``at``, blanks aside: a closing mark, or a word that is no keyword."""
-    at -= 1
-    while at >= 0 and text[at] in " \t":
-        at -= 1
-    if at < 0:
-        return False
-    if text[at] in ends:
-        return True
-    stop = at + 1
-    while at >= 0 and text[at].isascii() and (text[at].isalnum() or text[at] in word):
-        at -= 1
-    return at + 1 < stop and text[at + 1 : stop] not in keywords
+    end = _ended(text, at, " \t")
+    tail = text[max(0, end - 24) : end]
+    word = _LAST_WORD[extra].search(tail)[0]
+    return bool(tail) and (tail[-1] in ends or bool(word) and word not in keywords)
 
 
 def _guarded(scan: Scan, at: int, frame: Code, word: str) -> bool:
@@ -205,7 +212,7 @@ _HEREDOC = re.compile(r"<<([~-]?)(?:(['\"])([A-Za-z_][A-Za-z0-9_]*)\2|([A-Za-z_]
 
 
 def _ruby_operand(scan: Scan, at: int) -> bool:
-    return _operand_before(scan.text, at, "_", ")]}'\"", _RUBY_KEYWORDS)
+    return _value_before(scan.text, at, "_", ")]}'\"", _RUBY_KEYWORDS)
 
 
 def _ruby_begin(scan: Scan, m: re.Match, frame: Code) -> None:
@@ -293,28 +300,21 @@ _JS_TEMPLATE = re.compile(r"(?P<skip>\\(?:.|\Z))|(?P<end>`)|(?P<hole>\$\{)", re.
 _MODULE = {q: tag_set(f"{t[-1]}.module", "module.specifier.literal") for q, t in QUOTES.items()}
 
 
-def names_module(text: str, at: int) -> bool:
-    """Whether a literal at ``at`` names a module: after ``from`` or ``import``, or the call of ``import`` or ``require``."""
-
-    def back(k: int) -> int:
-        while k > 0 and text[k - 1] in " \t\n":
-            k -= 1
-        return k
+_MODULE_WORD = re.compile(r"(?<![A-Za-z0-9_$])(?:(?P<either>import)|(?P<plain>from)|(?P<called>require))\Z")
 
-    def word(stop: int) -> str:
-        k = stop
-        while k > 0 and text[k - 1].isascii() and (text[k - 1].isalnum() or text[k - 1] in "_$"):
-            k -= 1
-        return text[k:stop]
 
-    at = back(at)
-    if at and text[at - 1] == "(":
-        return word(back(at - 1)) in ("import", "require")
-    return word(at) in ("from", "import")
+def names_module(text: str, at: int) -> bool:
+    """Whether a literal at ``at`` names a module: after ``from`` or ``import``, or the call of ``import`` or ``require``."""
+    end = _ended(text, at, " \t\n")
+    called = end > 0 and text[end - 1] == "("
+    if called:
+        end = _ended(text, end - 1, " \t\n")
+    m = _MODULE_WORD.search(text[max(0, end - 16) : end])
+    return m is not None and m.lastgroup in ("either", "called" if called else "plain")
 
 
 def _js_slash(scan: Scan, m: re.Match, frame: Code) -> None:
-    value = _operand_before(scan.text, m.start(), "_$", ")]}", _JS_KEYWORDS)
+    value = _value_before(scan.text, m.start(), "_$", ")]}", _JS_KEYWORDS)
     found = None if value else _REGEX.match(scan.text, m.start())
     frame.slash = -1 if found else m.start()
     if found:

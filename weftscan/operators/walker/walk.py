@@ -13,6 +13,8 @@ from .reader import ESCAPE, REFERENCE
 
 #: typed, markup of each grammar.
 GRAMMARS = {"javascript": (False, True), "typescript": (True, False), "tsx": (True, True)}
+#: Frames of Python that a level of nesting takes at most; a level takes a character at least.
+FRAMES = 24
 _QUOTES = {"'": "string.singleQuote", '"': "string.doubleQuote"}
 _BLANK = re.compile(r"[\s\ufeff]*\Z")
 
@@ -44,12 +46,10 @@ def _string(text: str, start: int, end: int, module: bool, plain: bool) -> Segme
 def segments(grammar: str, text: str) -> list[Segment]:
     """All segments of a text, gaps included."""
     typed, markup = GRAMMARS[grammar]
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    # no nesting ends the reading: frames of Python functions are on the heap, and are taken only as they are needed
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000 + FRAMES * len(text)))
     parser = Parser(text, typed, markup)
-    try:
-        parser.program()
-    except RecursionError:
-        pass  # nesting beyond reason: what was read so far counts
+    parser.program()
     out: list[Segment] = []
     hides = lambda scope, name: name in parser.local and scope.hides(name)
     for e in parser.events:

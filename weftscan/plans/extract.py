@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,8 +97,13 @@ def issues(files: DataFrame, segments: DataFrame, known: DataFrame) -> DataFrame
     forces a broadcast.
     """
     missing = words(segments).withColumn("w", F.lower("word")).join(known.select(F.lower("word").alias("w")).distinct(), "w", "left_anti")
-    at = missing.join(files.select("file_id", "content"), "file_id")
-    before = F.col("content").substr(F.lit(1), F.col("start") + source_offset(F.col("map"), F.col("offset")))
-    row = F.length(F.regexp_replace(before, "[^\n]+", "")) + 1
-    found = at.select(F.col("filename").alias("uri"), F.col("word").alias("text"), row.alias("row"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
+    place = F.col("start") + source_offset(F.col("map"), F.col("offset"))
+    spots = missing.select("file_id", place.alias("at"), F.lit(1).alias("kind"), F.col("filename").alias("uri"), F.col("word").alias("text"))
+    lines = starts(F.transform(F.split("content", "\n", -1), lambda x: F.length(x) + 1))
+    begins = files.select("file_id", F.explode(lines).alias("at"), F.lit(0).alias("kind"))
+    by = Window.partitionBy("file_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = begins.unionByName(spots, allowMissingColumns=True)
+    row = F.count(F.when(F.col("kind") == 0, 1)).over(by).cast("int")
+    col = (F.col("at") - F.max(F.when(F.col("kind") == 0, F.col("at"))).over(by) + 1).cast("int")
+    found = both.select("kind", "uri", "text", row.alias("row"), col.alias("col")).where("kind = 1").drop("kind")
     return found.orderBy("uri", "row", "col", "text")

@@ -186,8 +186,8 @@ def decode_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_entities_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    foot = F.regexp_extract("html", "<footer>([^<]*)</footer>", 1)
-    return _table(spark, sf_dir, "pages").select("page_id", text_functions.decode_html_text(foot)["text"].alias("text"))
+    """Every character reference of every whole page, decoded."""
+    return _table(spark, sf_dir, "pages").select("page_id", text_functions.decode_html_text(F.col("html"))["text"].alias("text"))
 
 
 def entity_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,12 +196,12 @@ def entity_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_strings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String literals in the scripts of pages."""
-    scripts = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("content").cast("string"))
-    # a literal that holds a closing tag does not end the script here: the pattern stops at the script's own
+    """String literals in all scripts of pages, whatever their attributes and case; ``script`` counts them from 0."""
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<script(?:\s[^>]*+)?>(.*?)</script\s*>"), F.lit(1))
+    scripts = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("script", "content"))
     kept = filters.filter_segments(scan(F.col("content"), "typescript"), {"*": False, "string": True}, defaults("typescript"))
-    rows = exploded(scripts, kept, ["page_id"])
-    return rows.select("page_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", F.array_join("tags", " ").alias("tags"))
+    rows = exploded(scripts, kept, ["page_id", "script"])
+    return rows.select("page_id", "script", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", F.array_join("tags", " ").alias("tags"))
 
 
 def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,11 +395,19 @@ def oracle_sql() -> dict[str, str]:
     decoded = ["chr(10)", "'A'", "chr(233)", "chr(128512)", "'012'", "'q'", "''", "'u{110000}'", "'$'"]
     spans = ["2,1", "4,1", "6,1", "9,1", "4,3", "2,1", "2,0", "10,9", "2,1"]
     out["decode_escapes"] = f"SELECT {KEY} AS id, {' || '.join(f'{NAME} || {d}' for d in decoded)} AS text, " + " || ',' || ".join(f"{n} || ',' || {n} || ',{s}'" for s in spans) + " AS map FROM part"
-    foot = "regexp_extract(html, '<footer>([^<]*)</footer>', 1)"
-    out["decode_entities_pages"] = f"SELECT page_id, replace(replace(replace({foot}, '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS text FROM pages"
+    plain = "html"
+    for name, code in (("copy", 169), ("middot", 183), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+        plain = f"replace({plain}, '&{name};', chr({code}))"
+    out["decode_entities_pages"] = f"SELECT page_id, {plain} AS text FROM pages"
     found = "SELECT unnest(regexp_extract_all(html, '&[A-Za-z]+;')) AS entity FROM pages"
     out["entity_counts_pages"] = f"SELECT entity, CASE entity WHEN '&copy;' THEN chr(169) WHEN '&middot;' THEN chr(183) WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN chr(34) ELSE entity END AS character, count(*) AS n FROM ({found}) GROUP BY entity"
-    out["script_strings_pages"] = f"SELECT page_id, CAST(6 AS INTEGER) AS start_at, CAST(12 AS INTEGER) AS end_at, '</p>' AS text, '{' '.join(tag_set(DOUBLE))}' AS tags FROM pages WHERE html LIKE '%<script>var t=\"</p>\";%'"
+    # the scripts of pages hold no comments, escapes, templates or single quotes: their literals are what stands between quotes
+    scripts = "SELECT page_id, unnest(s) AS content, generate_subscripts(s, 1) - 1 AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script(?:\\s[^>]*)?>(.*?)</script\\s*>', 1) AS s FROM pages)"
+    parts = f"SELECT page_id, script, unnest(p) AS part, generate_subscripts(p, 1) AS k, p FROM (SELECT page_id, script, string_split(content, chr(34)) AS p FROM ({scripts}))"
+    at = "CAST(list_sum(list_transform(p[:k - 1], lambda x: length(x) + 1)) AS INTEGER) - 1"
+    out["script_strings_pages"] = (
+        f"SELECT page_id, CAST(script AS INTEGER) AS script, {at} AS start_at, {at} + CAST(length(part) AS INTEGER) + 2 AS end_at, part AS text, '{' '.join(tag_set(DOUBLE))}' AS tags FROM ({parts}) WHERE k % 2 = 0"
+    )
     out["utf16_offsets"] = f"SELECT {KEY} AS id, CAST({n} + 6 AS INTEGER) AS utf16, CAST(2 AS INTEGER) AS first FROM part"
     out["escape_regex"] = f"SELECT {KEY} AS id, {BRAND} || chr(92) || '*' || chr(92) || '(a' || chr(92) || '.b' || chr(92) || ')' AS text FROM part"
     one = f"'aaaa, ' || {TYPE}"
