@@ -55,8 +55,11 @@ def _number(data: bytes, at: int) -> tuple[int, int]:
     return int(m[0]), m.end()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """(height, width) or (height, width, 3); 16-bit samples are kept as such, bitmaps become 0 and 255."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """(height, width) or (height, width, 3), and the maximum of a sample.
+
+    16-bit samples are kept as such, bitmaps become 0 and 255; a sample above the maximum is an error.
+    """
     kind = data[:2]
     if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("not a Netpbm picture")
@@ -71,6 +74,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = w * h * bands
     if kind == b"P1":
         bits = re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:n]
+        if bits.strip(b"01"):
+            raise ValueError("a bitmap holds something else than 0 and 1")
         out = 255 - 255 * (np.frombuffer(bits, np.uint8) - 48)
     elif kind in (b"P2", b"P3"):
         out = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], np.int64)
@@ -84,8 +89,11 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             out = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at)
     if out.size != n:
         raise ValueError("a Netpbm picture is cut short")
+    top = 255 if kind in (b"P1", b"P4") else top
+    if out.size and (out.max() > top or out.min() < 0):
+        raise ValueError("a Netpbm sample is above the maximum")
     out = out.astype(np.uint8 if top < 256 else np.uint16)
-    return out.reshape((h, w, 3) if bands == 3 else (h, w))
+    return out.reshape((h, w, 3) if bands == 3 else (h, w)), top
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -115,8 +123,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return out[:, :, 0] if (palette[:, :1] == palette).all() else out
 
 
+def decode_scaled(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples of a picture, and the largest that a sample could be."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
+
+
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return decode_scaled(data)[0]
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -146,9 +159,10 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
+def npy_tile(image: np.ndarray, size: int = TILE, top: int = 255) -> bytes:
+    """The picture in ``size`` x ``size`` samples of 0 to 255, as NPY; ``top`` is what its own samples reach at most."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, size, size)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(area_resize(image, size, size) * (255 / top)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -201,9 +215,9 @@ def features(media: DataFrame, column: str = "media", tile: int = TILE) -> DataF
             rows = []
             for data in batch.column(at).to_pylist():
                 try:
-                    image = decode(data)
-                    rows.append((*image.shape[:2], image.tobytes(), npy_tile(image, tile), difference_hash(image)))
-                except (ValueError, TypeError, struct.error):
+                    image, top = decode_scaled(data)
+                    rows.append((*image.shape[:2], image.tobytes(), npy_tile(image, tile, top), difference_hash(image)))
+                except (ValueError, TypeError, ArithmeticError, IndexError, struct.error):
                     rows.append((None,) * len(kinds))
             more = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
