@@ -65,8 +65,9 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 MAX_FEATURES = 4000
-#: Corpus paragraphs that stand for the unknown class, at most.
+#: Corpus paragraphs that stand for the unknown class, at most, and characters of each.
 SAMPLE_PARAGRAPHS = 3000
+SAMPLE_LENGTH = 4000
 WINDOWS, EPOCHS, RATE, DECAY = 60, 150, 0.5, 1e-4
 #: Share of the paragraph's grams in the family's templates that confirms it, and its least probability.
 CONFIRM, LEAST = 0.4, 0.5
@@ -125,7 +126,8 @@ def train(paragraphs: list[str], seed: int = 3) -> Model:
     single = {g for g in seen if " " not in g and plain_df[g] <= most and len(g) > 1}
     grams = sorted(g for g in seen if g in single or (" " in g and plain_df[g] <= most and any(w in single for w in g.split())))
     grams = sorted(sorted(grams, key=lambda g: (-seen[g], g))[:MAX_FEATURES])
-    grams = [g for g in grams if " " not in g or any(w in set(grams) for w in g.split())]
+    known = set(grams)
+    grams = [g for g in grams if " " not in g or any(w in known for w in g.split())]
     place = {g: k for k, g in enumerate(grams)}
     vocabulary = [w for w in single if w in place]
     made = []  # prose that names a few of the words, but is no licence
@@ -172,15 +174,18 @@ def train(paragraphs: list[str], seed: int = 3) -> Model:
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_paragraphs, paragraphs (lines that are not blank) of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(lines).cast("long").alias("n_paragraphs"), lines.alias("p"))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Model:
-    """Train against at most ``sample`` paragraphs of the corpus, those with the least hash, so that each run takes the same."""
+    """Train against at most ``sample`` distinct paragraphs of the corpus, those with the least hash, so that each run takes the same.
+
+    Paragraphs above SAMPLE_LENGTH characters are no training rows, so that what comes to the driver is bounded in bytes.
+    """
     share = min(1.0, 2 * sample / max(1, docs.count()))  # texts hold a paragraph at least, mostly; so no task sends many
     part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = _paragraphs(part).select(F.explode("p").alias("p"))
+    some = _paragraphs(part).select(F.explode("p").alias("p")).where(F.length("p") <= SAMPLE_LENGTH).distinct()
     rows = some.orderBy(F.xxhash64("p"), "p").limit(sample).collect()
     return train([r["p"] for r in rows])
 
