@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from .store import narrow_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
+#: What takes the rest of a page where no ``>`` follows.
+_OPEN = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose content is no text, those of them that take the rest of a page if they do not end, elements that hold nothing, and those that do not end a block.
@@ -66,40 +68,42 @@ def blocks(page: str | None) -> list[Block]:
     linked = 0
     where: list[tuple[str, tuple[str, ...]]] = []
     in_link = 0
+    spoken = False  # whether the parts hold more than blanks
+    last = page.rfind(">")  # beyond it there are no tags
     endless: set[str] = set()  # raw elements without a further end tag in the page
     deeper: Counter[str] = Counter()  # elements open beyond what the stack holds
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, spoken
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, linked, [t for t, _ in where], [n for _, ns in where for n in ns]))
             parts.clear()
-        linked = 0
+        linked, spoken = 0, False
 
     def put(raw: str, decode: bool = True) -> None:
-        nonlocal linked, where
+        nonlocal linked, where, spoken
         if raw:
             text = html.unescape(raw) if decode and "&" in raw else raw
-            if not parts or not "".join(parts).strip():
-                where = list(stack)
+            if not spoken:
+                where, spoken = list(stack), not text.isspace()
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
 
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or _OPEN.search(page, at) else None
         if not m:
             put(page[at:])
             break
         put(page[at : m.start()])
         at = m.end()
-        name = m[2] and m[2].lower()
+        name, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not name:
             continue
-        if m[1]:
+        if m[1] or m[4]:
             if name not in INLINE:
                 flush()
             if deeper[name]:
@@ -113,7 +117,7 @@ def blocks(page: str | None) -> list[Block]:
             if name == "a":
                 in_link = 0
             continue
-        empty = m[3].endswith("/")
+        empty = attributes.endswith("/")
         if name in RAW or name == "xmp":
             flush()
             end = None if empty or name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -134,7 +138,7 @@ def blocks(page: str | None) -> list[Block]:
             while stack and not deeper.total() and (name in _ENDS.get(stack[-1][0], ()) or (stack[-1][0] in INLINE and any(name in _ENDS.get(t, ()) for t, _ in stack[-4:]))):
                 stack.pop()
         if name not in VOID and not empty:
-            found = tuple(p.lower() for a in _ATTRIBUTE.finditer(m[3]) for p in _PIECE.findall(a[2] or a[3] or a[4] or ""))
+            found = tuple(p.lower() for a in _ATTRIBUTE.finditer(attributes) for p in _PIECE.findall(a[2] or a[3] or a[4] or ""))
             if len(stack) < 200:
                 stack.append((name, found))
             else:
