@@ -105,6 +105,16 @@ def test_kinds_of_pictures(spark):
     assert np.load(io.BytesIO(rows[3].tile)).shape == (32, 32)
 
 
+def test_samples_are_scaled_by_their_maximum(spark):
+    """Tiles of pictures with maxima other than 255, and pictures whose numbers no array can hold."""
+    wide = b"P5\n32 32\n65535\n" + np.full((32, 32), 32768, ">u2").tobytes()
+    small = b"P2\n32 32\n15\n" + b" ".join([b"15"] * 1024)
+    bad = [b"P2 1 1 255 99999999999999999999999999", b"P1 2 1 67", b"P2 1 1 15 16", b"P2 1 1 15 -1", b"P1 1 99999999999999999999 1"]
+    rows = media.features(spark.createDataFrame([(x,) for x in [wide, small, *bad]], "media binary")).collect()
+    assert [int(np.load(io.BytesIO(r.tile)).max()) for r in rows[:2]] == [128, 255]
+    assert all(r.dhash is None and r.tile is None for r in rows[2:])
+
+
 # -- packing ------------------------------------------------------------------------------------------------------
 
 
@@ -162,6 +172,19 @@ def test_plans_use_each_length_as_often_as_it_occurs(lengths, times):
     assert used == Counter(lengths * times)
 
 
+def test_all_triples_are_enumerated():
+    lengths = np.arange(1, 65)
+    found = packing.combinations(lengths, np.ones(64, np.int64), 64)
+    assert set(found) == {(64,)} | {(64 - b, b) for b in range(1, 33)} | {(64 - b - c, b, c) for c in range(1, 22) for b in range(c, (64 - c) // 2 + 1)}
+
+
+def test_the_stage_keeps_the_ids(edge_docs, no_docs):
+    rows = packing.stage(edge_docs.sparkSession, edge_docs, "").collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in edge_docs.collect()}
+    assert packing.stage(edge_docs.sparkSession, no_docs, "").count() == 0
+
+
 def test_plans_leave_little_room():
     rng = np.random.default_rng(1)
     histogram = np.bincount(rng.integers(1, 1025, 200_000), minlength=1025)

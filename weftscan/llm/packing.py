@@ -11,6 +11,7 @@ and a table of (task, length) counts is summed into bases.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,6 @@ from .store import BATCH_ROWS, join_sized, narrow_batches, table
 
 WINDOW = 1024
 END_ID = 0
-#: Combinations of three lengths that are tried; those of two always are.
-MAX_TRIPLES = 6000
 #: Bytes of token ids in one output batch.
 BATCH_BYTES = 8 << 20
 
@@ -49,6 +48,7 @@ def encoder(path: str):
     """The byte-level BPE of a ``tokenizers`` file, run by tiktoken's merge loop: the same ids, several times faster.
 
     The vocabulary, its order and its special tokens are read from that file. Returns a function from text to ids.
+    What the merge loop's splitting pattern cannot take (runs of many thousand blanks) goes to ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
@@ -58,7 +58,21 @@ def encoder(path: str):
     of, special = _byte_of(), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
     made = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special="all")
+        except ValueError:
+            return _exact(path).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@lru_cache(maxsize=2)
+def _exact(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
 
 
 def default_vocabulary() -> str:
@@ -109,8 +123,8 @@ def tokenise(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = Non
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = MAX_TRIPLES) -> list[tuple[int, ...]]:
-    """Combinations of one to three of ``lengths`` with the sum ``window``; of the triples, the best supported ``most``."""
+def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
+    """All combinations of one to three of ``lengths`` with the sum ``window``, the best supported triples first."""
     have = np.zeros(window + 1, np.int64)
     have[lengths] = counts
     out: list[tuple[int, ...]] = [(window,)] if have[window] else []
@@ -124,38 +138,42 @@ def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int
         weight.append(np.minimum(np.minimum(have[a[good]], have[b[good]]), have[c]))
     if triples:
         triples, weight = np.concatenate(triples), np.concatenate(weight)
-        out_t = [tuple(map(int, t)) for t in triples[np.argsort(-weight, kind="stable")[:most]]]
+        out_t = [tuple(map(int, t)) for t in triples[np.argsort(-weight, kind="stable")]]
     else:
         out_t = []
     return out + pairs + out_t
 
 
-def nnls(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 60, tol: float = 1e-3) -> np.ndarray:
-    """x >= 0 with least squared error of sum(x * column) against ``target``, by cyclic coordinate descent.
+def nnls(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 600, tol: float = 1e-3) -> np.ndarray:
+    """x >= 0 with least squared error of sum(x * column) against ``target``, by accelerated projected gradients.
 
-    A column holds its lengths, with repeats; as each has three entries at most, a step costs a few additions.
+    A column holds its lengths, with repeats: at most three, so a gradient is three look-ups for each column.
     """
-    left = target.astype(float).tolist()
-    cols = []
-    for c in columns:
-        one: dict[int, int] = {}
-        for v in c:
-            one[v] = one.get(v, 0) + 1
-        cols.append((list(one.items()), float(sum(m * m for m in one.values()))))
-    x, scale = [0.0] * len(cols), max(1.0, float(target.max(initial=0)))
+    if not columns:
+        return np.zeros(0)
+    none = len(target)  # the place that shorter columns are filled up with
+    at = np.full((len(columns), max(map(len, columns))), none)
+    for j, c in enumerate(columns):
+        at[j, : len(c)] = c
+    sums = lambda x: np.bincount(at.ravel(), np.repeat(x, at.shape[1]), none + 1)[:none]
+    gradient = lambda r: np.append(r, 0.0)[at].sum(axis=1)
+    v, largest = np.ones(len(columns)), 1.0
+    for _ in range(30):  # the largest eigenvalue, which bounds the step
+        v = gradient(sums(v / np.linalg.norm(v)))
+        largest = np.linalg.norm(v)
+    step = 1 / (1.05 * largest)
+    x = y = np.zeros(len(columns))
+    t, scale = 1.0, max(1.0, float(target.max(initial=0)))
     for _ in range(sweeps):
-        moved = 0.0
-        for j, (entries, norm) in enumerate(cols):
-            new = x[j] + sum(m * left[v] for v, m in entries) / norm
-            new = max(new, 0.0)
-            if step := new - x[j]:
-                x[j] = new
-                for v, m in entries:
-                    left[v] -= m * step
-                moved = max(moved, abs(step))
-        if moved < tol * scale:
+        new = np.maximum(0.0, y + step * gradient(target - sums(y)))
+        if (y - new) @ (new - x) > 0:  # the momentum leads away: begin anew
+            t = 1.0
+        ahead = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved, y = np.abs(new - x).max(), new + (t - 1) / ahead * (new - x)
+        x, t = new, ahead
+        if moved < tol * scale * step:
             break
-    return np.array(x)
+    return x
 
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
@@ -175,10 +193,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, .
         times = int(x[j] + 1e-6)
         if not times:
             break
-        need: dict[int, int] = {}
-        for v in columns[j]:
-            need[v] = need.get(v, 0) + 1
-        take(columns[j], min([times, *(int(left[v]) // m for v, m in need.items())]))
+        take(columns[j], min([times, *(int(left[v]) // m for v, m in Counter(columns[j]).items())]))
     while (rest := np.flatnonzero(left)).size:  # the residuals: each sequence takes the longest that still fit
         room, pattern, free = window, [], left.copy()
         for v in rest[::-1]:
@@ -251,5 +266,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: one row for each piece of each document that is left."""
-    return digests(docs)
+    """The last stage of the pipeline: one row for each piece of each document that is left, with its ids.
+
+    Of ``docs`` only doc_id and text are read, whatever other columns are called. A null text counts as empty and
+    gives one piece of the end id; a null doc_id stays null; repeated rows are packed each; no rows give no rows.
+    """
+    return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
