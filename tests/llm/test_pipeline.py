@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm.test_minhash import brute_components
 from tests.llm.test_models import labelled
-from weftscan.llm import registry
+from weftscan.llm import minhash, pii, quality_classifier, registry
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -30,3 +30,21 @@ def test_pipeline_end_to_end(spark, tmp_path):
 def test_registry_names_each_operator():
     names = sorted(int(k[2:].split("_")[0]) for k in registry.queries() if k.startswith("op"))
     assert names == list(range(1, 11))
+
+
+def test_ties_and_clashing_names_of_stages(spark, tmp_path):
+    """Columns named like the stages' own, rows that differ in other columns alone, empty tables."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, th string, n long, __id long, __score double, score double"
+    text = labelled(3, seed=4)[0][1]
+    rows = [(1, text, "en", lang, len(text), "r", 5, "t", 9, 7, 0.1, 0.2) for lang in ("b", None, "a")] + [(None, text, None, None, None, None, None, None, None, None, None, None)] * 2
+    docs, none = spark.createDataFrame(rows, names), spark.createDataFrame([], names)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = minhash.stage(spark, docs, "").collect()
+    assert sorted(tuple(r) for r in left if r.doc_id) == [rows[1]] and len(left) == 3
+    scored = quality_classifier.stage(spark, docs, str(tmp_path))
+    assert scored.columns == docs.columns and scored.count() in (0, 5)
+    for stage in (minhash.stage, pii.stage, quality_classifier.stage):
+        out = stage(spark, none, str(tmp_path))
+        assert out.columns == none.columns and out.count() == 0
+    clean = pii.stage(spark, docs, "")
+    assert clean.columns == docs.columns and clean.count() == 5

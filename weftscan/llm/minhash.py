@@ -347,14 +347,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the least doc_id, and of its repeated rows one."""
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id", "th").agg(F.count("*").alias("__n"))
-    kept = table(kept.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), "kept")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    left = join_sized(keyed, kept, ["__id", "__th"])
-    once = left.where("__n = 1 OR doc_id IS NULL").select(*docs.columns)
-    again = left.where("__n > 1 AND doc_id IS NOT NULL").dropDuplicates(["__id", "__th"]).select(*docs.columns)
-    return once.unionByName(again)
+    """One document of each component stays: that of the least doc_id, and of its repeated rows one.
+
+    Of rows that agree in doc_id and text the least in the order of ``docs``' columns stays, nulls first. Rows without a
+    doc_id all stay, as do those without words. Columns may have any names: they travel inside ``row``.
+    """
+    kept = near_duplicates(docs).where("kept").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    kept = table(kept.withColumnsRenamed({"doc_id": "id"}), "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    left = join_sized(keyed, kept, ["id", "th"])
+    once = left.where("n = 1 OR id IS NULL").select("row")
+    again = left.where("n > 1 AND id IS NOT NULL").groupBy("id", "th").agg(F.min("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

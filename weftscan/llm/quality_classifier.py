@@ -195,9 +195,13 @@ def with_scores(docs: DataFrame, labels: DataFrame, name: str = "score") -> Data
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is THRESHOLD or more."""
-    scored = with_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "__score")
-    return scored.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    """Documents whose score is THRESHOLD or more, with their own columns, whatever these are called.
+
+    Nulls, empty texts and repeated rows are scored as :func:`with_scores` says; an empty table stays empty.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
+    return with_scores(rows, labels).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
