@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_minhash import brute_components
 from tests.llm.test_models import labelled
-from weftscan.llm import minhash, pii, quality_classifier, registry
+from weftscan.llm import minhash, pii, quality_classifier, quality_rules, registry
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -43,7 +45,9 @@ def test_ties_and_clashing_names_of_stages(spark, tmp_path):
     assert sorted(tuple(r) for r in left if r.doc_id) == [rows[1]] and len(left) == 3
     scored = quality_classifier.stage(spark, docs, str(tmp_path))
     assert scored.columns == docs.columns and scored.count() in (0, 5)
-    for stage in (minhash.stage, pii.stage, quality_classifier.stage):
+    ruled = quality_rules.stage(spark, docs.withColumn("__s", F.lit(1)).withColumn("__bad", F.lit("x")), "")
+    assert ruled.columns == [*docs.columns, "__s", "__bad"] and ruled.count() == 5
+    for stage in (quality_rules.stage, minhash.stage, pii.stage, quality_classifier.stage):
         out = stage(spark, none, str(tmp_path))
         assert out.columns == none.columns and out.count() == 0
     clean = pii.stage(spark, docs, "")

@@ -206,15 +206,17 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their own columns. Decisions are joined by content, not by doc_id, so that repeats and nulls hold."""
-    own = docs.columns
-    s = with_statistics(docs.select("*", F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source")))
-    flat = s.select(*own, "__lang", "__source", "__s").withColumn("__bad", base_failed())
+    """Documents that the rules keep, with their own columns, whatever these are called: they travel inside ``row``.
+
+    Decisions are joined by content, not by doc_id, so that repeats and nulls hold. An empty table stays empty.
+    """
+    s = with_statistics(docs.select(F.struct("*").alias("row"), "text", F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source")))
+    flat = s.select("row", "__lang", "__source", "__s").withColumn("__bad", base_failed())
     fitted = table(flat.where(~F.col("__bad")).select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *[F.col(f"__s.{c}").alias(c) for c in NAMES]), "statistics")
     estimates = fit(fitted, ["lang", "source"], NAMES, list(FLOORS.values())).withColumnsRenamed({"lang": "__lang", "source": "__source", "m": "__m", "inv": "__inv"})
     good = join_sized(flat.where(~F.col("__bad")), estimates, ["__lang", "__source"], "left")
     total = _distance([f"__s.{c}" for c in NAMES], "__m", "__inv")
-    return good.where(F.coalesce(total, F.lit(0.0)) <= CUTOFF).select(*own)
+    return good.where(F.coalesce(total, F.lit(0.0)) <= CUTOFF).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
