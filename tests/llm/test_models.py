@@ -225,32 +225,63 @@ def test_pieces_round_trip(edge_docs, edge_rows, no_docs):
         assert same[r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()] == r.ids
 
 
+def pieces_of(texts, dropout, seed=1, chains=None):
+    chains = chains or sentence_pieces.Chains(sentence_pieces.pieces(sentence_pieces.default_model()), dropout)
+    values, ends = sentence_pieces.encode_texts(chains, texts, seed)
+    return [values[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def test_without_dropout_the_ids_are_the_models_own():
     import sentencepiece
 
-    p = sentence_pieces.pieces(sentence_pieces.default_model())
     own = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
     texts = [prose(k, 60) for k in range(5)] + ["Hello world, naïve café 123!", "x" * 90]
-    for t, ids in zip(texts, sentence_pieces.encode_texts(p, texts, 0.0, 1, 1, {}), strict=True):
-        assert np.frombuffer(ids, np.int32).tolist() == own.encode(t)
+    assert pieces_of(texts, 0.0) == [own.encode(t) for t in texts]
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.text(alphabet="ab th▁é\U0001f600e\n", min_size=1, max_size=20), min_size=1, max_size=6), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
-def test_many_at_a_time_is_as_one_by_one(words, dropout):
+@given(st.lists(st.text(alphabet="ab th▁é\U0001f600e\n", max_size=60), min_size=1, max_size=6), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
+def test_many_at_a_time_is_as_one_by_one(texts, dropout):
+    p = sentence_pieces.pieces(sentence_pieces.default_model())
+    expected = []
+    for t in texts:
+        words = sentence_pieces.words_of(t)
+        keys = sentence_pieces.keys_of(t, len(words), 5).tolist()
+        expected.append(np.frombuffer(b"".join(sentence_pieces.encode_long(p, w, k, dropout) for w, k in zip(words, keys, strict=True)), np.int32).tolist())
+    assert pieces_of(texts, dropout, 5) == expected
+
+
+def test_prose_one_by_one_and_with_a_small_memory(monkeypatch):
+    p = sentence_pieces.pieces(sentence_pieces.default_model())
+    texts = [prose(k, 300) for k in range(8)] + [None, ""]
+    expected = []
+    for t in texts:
+        words = sentence_pieces.words_of(t)
+        keys = sentence_pieces.keys_of(t or "", len(words), 5).tolist()
+        expected.append([i for w, k in zip(words, keys, strict=True) for i in np.frombuffer(sentence_pieces.encode_long(p, w, k, 0.2), np.int32).tolist()])
+    assert pieces_of(texts, 0.2, 5) == expected
+    monkeypatch.setattr(sentence_pieces, "CACHE", 10)
+    monkeypatch.setattr(sentence_pieces, "AT_ONCE", 7)
+    assert pieces_of(texts, 0.2, 5) == expected
+
+
+def test_each_occurrence_draws_for_itself():
+    text = " ".join(["unbelievable"] * 4000)
     p = sentence_pieces.pieces(sentence_pieces.default_model())
-    words = [w for w in words if len(w) <= sentence_pieces.SHORT]
-    keys = [sentence_pieces.word_key(w, 5, 1) for w in words]
-    if words:
-        assert sentence_pieces.encode_short(p, words, np.array(keys, np.uint64), dropout) == [sentence_pieces.encode_long(p, w, k, dropout) for w, k in zip(words, keys, strict=True)]
+    ids = pieces_of([text], 0.1)[0]
+    assert sentence_pieces.decode_ids(p, np.array(ids)) == text
+    chains = sentence_pieces.Chains(p, 0.1)
+    last = chains.walk([" unbelievable"] * 4000, sentence_pieces.keys_of(text, 4000, 1))
+    candidates = int(chains.size.data[0])
+    assert len(set(last.tolist())) > 8 and abs((last == 0).mean() - 0.9**candidates) < 0.04
 
 
 def test_seeds_vary_segmentations():
     p = sentence_pieces.pieces(sentence_pieces.default_model())
     text = prose(3, 200)
-    made = {sentence_pieces.encode_texts(p, [text], 0.2, seed, 4, {})[0] for seed in range(4)}
+    made = {tuple(pieces_of([text], 0.2, seed)[0]) for seed in range(4)}
     assert len(made) == 4
-    assert {sentence_pieces.decode_ids(p, np.frombuffer(x, np.int32)) for x in made} == {text}
+    assert {sentence_pieces.decode_ids(p, np.array(x)) for x in made} == {text}
 
 
 # -- licences -----------------------------------------------------------------------------------------------------
