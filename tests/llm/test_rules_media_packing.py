@@ -53,6 +53,66 @@ def test_outliers_go_and_copies_do_not_shift_the_estimate(spark):
     assert stayed.columns == df.columns and {r.doc_id for r in stayed.collect()} == kept
 
 
+def test_repeated_lines_alone_reject(spark):
+    clean = [(k, prose(k, 120).replace(". ", ".\n"), "en", "a") for k in range(300)]
+    junk = []
+    for k in range(300, 306):
+        own = [prose(9 * k + j, 9).replace("\n", " ") for j in range(14)]
+        junk.append((k, "\n".join(f"{line}\nRead more\nGo back" for line in own), "en", "a"))
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality_rules.rules(df).collect()}
+    assert not any(rows[k].kept for k in range(300, 306))
+    assert not any(rows[k].base_failed for k in range(300, 306))
+    assert sum(rows[k].kept for k in range(300)) >= 297
+
+
+def brute_mcd(x, share, seed=1, starts=60):
+    """The subset of least determinant by many random starts, each led to convergence; then weighed anew."""
+    rng = np.random.default_rng(seed)
+    h, best = int(np.ceil(share * len(x))), (np.inf, None, None)
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(starts):
+        at = rng.choice(len(x), x.shape[1] + 2, replace=False)
+        for _ in range(60):
+            m, c = x[at].mean(0), np.cov(x[at].T, bias=True) + 1e-6 * np.eye(x.shape[1])
+            was, at = at, np.argsort(distance(m, c))[:h]
+            if len(was) == h and set(was) == set(at):
+                break
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(m), c), key=lambda b: b[0])
+    d2 = distance(np.array(best[1]), best[2])
+    core = x[d2 <= max(np.median(d2) / quality_rules.CHI2_MEDIAN, 1.0) * quality_rules.CHI2_975]
+    return distance(core.mean(0), np.cov(core.T, bias=True))
+
+
+def test_estimates_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    d, groups = 9, {}
+    for g in range(2):
+        mix = rng.normal(size=(d, d)) / 3 + np.eye(d)
+        x = rng.normal(size=(400, d)) @ mix + 3 * g
+        x[:50] = rng.normal(size=(50, d)) * 0.3 + 14 + np.arange(d)
+        groups[f"l{g}"] = x
+    names = quality_rules.NAMES
+    rows = [(g, "s", *map(float, v)) for g, x in groups.items() for v in x]
+    vectors = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in names))
+    for r in quality_rules.fit(vectors, ["lang", "source"], names, [1e-3] * d).collect():
+        x = groups[r.lang]
+        off = x - np.array(r.m)
+        ours = np.einsum("ij,jk,ik->i", off, np.array(r.inv).reshape(d, d), off)
+        theirs = brute_mcd(x, quality_rules.SUPPORT)
+        assert ((ours > quality_rules.CUTOFF) == (theirs > quality_rules.CUTOFF)).all() and (ours[:50] > quality_rules.CUTOFF).all()
+        assert np.corrcoef(ours, theirs)[0, 1] > 0.999
+
+
+def test_quantiles_of_bins(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in (None, "a") for v in np.concatenate([rng.normal(size=500), rng.exponential(1e6, 500)])]
+    got = {r.g: r.q for r in quality_rules.quantile(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 0.75).collect()}
+    for g in (None, "a"):
+        exact = np.sort([v for k, v in rows if k == g])[749]
+        assert abs(got[g] / exact - 1) < 2e-3
+
+
 def test_stage_keeps_clashing_columns(spark, edge_docs):
     assert quality_rules.stage(spark, edge_docs, "").columns == edge_docs.columns
 

@@ -3,7 +3,8 @@
 Every whole text gives counts and from them a vector of transformed statistics. For each (lang, source) group,
 concentration steps find the 75 % of distinct vectors whose covariance has the least determinant: squared
 distances from the current centre, their quantile by group, and the moments of the rows below it, all as grouped
-aggregates of the whole table. Only per-group moments ever reach one place. Copies of a vector count once in
+aggregates of the whole table. Three starts are led to convergence, and each group takes the one of least determinant.
+Quantiles are read off counts by bin, so of a hot group only bins and moments reach one place. Copies of a vector count once in
 the fit, so a group of copies cannot become the centre. Groups that are small lean on their language's pooled
 scatter. Rows are rejected by Mahalanobis distance.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -25,11 +26,17 @@ from .store import join_sized, narrow_batches, table
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-#: Share of a group that the estimate concentrates on, and the number of concentration steps.
+#: Share of a group that the estimate concentrates on. Concentration steps end when no group's determinant falls by more
+#: than the factor exp(SETTLED), or after STEPS.
 SUPPORT = 0.75
-STEPS = 3
-#: Rows and statistics: the smallest scale of each statistic, so that one that hardly varies does not reject by itself.
-FLOORS = {"x_words": 0.35, "x_length": 0.35, "x_symbols": 0.6, "x_lines": 0.6, "x_repeats": 0.6, "x_upper": 0.4, "x_digits": 0.6, "x_marks": 0.4, "x_variety": 0.03}
+STEPS, SETTLED = 10, 0.02
+#: Starts: whole scatter, squared length, and largest coordinate in scaled deviations from the medians.
+STARTS = 3
+#: Bins of a quantile: this many for a unit near 0, and for a factor of e far from it.
+FINE = 1024
+#: The smallest scale of each statistic, so that small changes of one that hardly varies do not reject; large ones can:
+#: half of the lines repeated, or half of the words in repeated windows, are beyond the cutoff where others have none.
+FLOORS = {"x_words": 0.35, "x_length": 0.35, "x_symbols": 0.6, "x_lines": 0.5, "x_repeats": 0.5, "x_upper": 0.4, "x_digits": 0.6, "x_marks": 0.4, "x_variety": 0.03}
 NAMES = list(FLOORS)
 #: Chi-squared quantiles for nine statistics: the median, 0.975, and 1 - 1e-4, beyond which a document is rejected.
 CHI2_MEDIAN, CHI2_975, CUTOFF = 8.343, 19.023, 33.72
@@ -87,7 +94,7 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
     odds = lambda p: float(np.log((p + 0.02) / (1.02 - p)))
     return (
         n, chars, symbols, dup, repeats,
-        float(np.log1p(n)), share(chars, n), float(np.arcsinh(30 * share(symbols, n))), float(np.arcsinh(10 * share(dup, lines))), float(np.arcsinh(10 * share(repeats, n))),
+        float(np.log1p(n)), share(chars, n), float(np.arcsinh(30 * share(symbols, n))), 6 * share(dup, lines), 6 * share(repeats, n),
         odds(share(int(kinds[1]), chars)), float(np.arcsinh(30 * share(int(kinds[2]), chars))), odds(share(int(kinds[3]), chars)),
         float(np.log(distinct) / np.log(n)) if n > 1 else 1.0,
     )
@@ -130,20 +137,25 @@ def _moments(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def _estimates(moments: DataFrame, keys: list[str], names: list[str], floors: list[float]) -> DataFrame:
-    """Centre and inverse scatter of each group, leaning on the language's pooled scatter by PRIOR_ROWS vectors."""
+    """Centre, inverse scatter and its log-determinant for each group, leaning on the language's pooled scatter by PRIOR_ROWS vectors.
+
+    The first key is the language; a key ``start`` keeps the starts apart.
+    """
     d = len(names)
     sums = [c for c in moments.columns if c[:2] in ("s_", "q_") or c == "n"]
     within = [f"s_{j}*s_{k}/n" for j in range(d) for k in range(j, d)]
-    pool = moments.groupBy(keys[0]).agg(
+    wider = [keys[0], *[k for k in keys if k == "start"]]
+    pool = moments.groupBy(*wider).agg(
         *[F.sum(c).alias(f"p_{c}") for c in sums], *[F.sum(F.expr(w)).alias(f"w_{i}") for i, w in enumerate(within)]
     )
-    both = join_sized(moments, table(pool, "pool"), keys[:1])
-    schema = T.StructType([*[moments.schema[k] for k in keys], T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("inv", T.ArrayType(T.DoubleType()))])
+    both = join_sized(moments, table(pool, "pool"), wider)
+    number = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[moments.schema[k] for k in keys], T.StructField("m", number), T.StructField("inv", number), T.StructField("logdet", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         upper = [(j, k) for j in range(d) for k in range(j, d)]
         for b in batches:
-            out: dict[str, list] = {"m": [], "inv": []}
+            out: dict[str, list] = {"m": [], "inv": [], "logdet": []}
             for r in b.to_dict("records"):
                 n, pn = r["n"], r["p_n"]
                 mean = np.array([r[f"s_{k}"] for k in range(d)]) / n
@@ -156,36 +168,63 @@ def _estimates(moments: DataFrame, keys: list[str], names: list[str], floors: li
                 scatter = weight * own + (1 - weight) * pooled + np.diag(np.square(floors))
                 out["m"].append((weight * mean + (1 - weight) * pmean).tolist())
                 out["inv"].append(np.linalg.inv(scatter).ravel().tolist())
+                out["logdet"].append(float(np.linalg.slogdet(scatter)[1]))
             yield pd.DataFrame({**{k: b[k] for k in keys}, **out})
 
     return both.mapInPandas(run, schema)
 
 
+def quantile(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """``keys`` and ``q``, the upper edge of the bin up to which at least ``share`` of the group's rows lie.
+
+    Rows are counted by bin before a group meets in one task: some ten thousand bins at most, however many rows it has.
+    """
+    counted = rows.groupBy(*keys, F.floor(F.asinh(value) * FINE).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy(*keys)
+    upto = counted.select(*keys, "bin", F.sum("c").over(by.orderBy("bin")).alias("upto"), F.sum("c").over(by).alias("total"))
+    return upto.where(F.col("upto") >= share * F.col("total")).groupBy(*keys).agg(F.sinh((F.min("bin") + 1) / FINE).alias("q"))
+
+
+def _each(rows: DataFrame, keys: list[str], values: list[Column], name: str) -> DataFrame:
+    """``keys`` and the medians ``name``_0, … of the values, by group."""
+    long = rows.select(*keys, F.posexplode(F.array(*values)).alias("k", "v"))
+    found = quantile(long, [*keys, "k"], "v", 0.5)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"{name}_{k}") for k in range(len(values))])
+
+
 def fit(vectors: DataFrame, keys: list[str], names: list[str], floors: list[float]) -> DataFrame:
     """Minimum-covariance-determinant estimates: ``keys``, centre ``m``, inverse scatter ``inv``; one row for each group.
 
     ``vectors`` holds ``keys`` (nulls form groups of their own) and ``names``. An empty table gives none.
     """
-    rows = table(vectors.select(*keys, *names).na.drop(subset=names).distinct(), "vectors")
-    start = rows.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{k}") for k, c in enumerate(names)])
-    near = join_sized(rows, table(start, "medians"), keys)
-    spread = near.groupBy(*keys).agg(
-        *[F.first(f"m_{k}").alias(f"m_{k}") for k in range(len(names))],
-        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{k}")), 0.5, 1000).alias(f"a_{k}") for k, c in enumerate(names)],
-    )
     d = len(names)
-    scale = [F.greatest(F.col(f"a_{k}") * 1.4826, F.lit(floors[k])) for k in range(d)]
-    flat = [1 / (scale[j] * scale[j]) if j == k else F.lit(0.0) for j in range(d) for k in range(d)]
-    now = table(spread.select(*keys, F.array(*[F.col(f"m_{k}") for k in range(d)]).alias("m"), F.array(*flat).alias("inv")), "start")
-    for step in range(STEPS + 1):
-        measured = table(join_sized(rows, now, keys).withColumn("d2", _distance(names)).select(*keys, *names, "d2"), "distances")
-        if step < STEPS:
-            cut = measured.groupBy(*keys).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut"))
-        else:  # the last step weighs anew by the estimate, made consistent at the median
-            cut = measured.groupBy(*keys).agg((F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)) * CHI2_975).alias("cut"))
-        core = join_sized(measured, table(cut, "cuts"), keys).where("d2 <= cut")
-        now = table(_estimates(table(_moments(core, keys, names), "moments"), keys, names, floors), "estimates")
-    return now
+    rows = table(vectors.select(*keys, *names).na.drop(subset=names).distinct(), "vectors")
+    near = join_sized(rows, table(_each(rows, keys, [F.col(c) for c in names], "m"), "medians"), keys)
+    spread = table(_each(near, keys, [F.abs(F.col(c) - F.col(f"m_{k}")) for k, c in enumerate(names)], "a"), "spreads")
+    whole = table(_estimates(table(_moments(rows, keys, names), "moments"), keys, names, floors), "whole")
+    scaled = join_sized(join_sized(near, spread, keys), whole, keys)
+    z = [F.abs(F.col(c) - F.col(f"m_{k}")) / F.greatest(F.col(f"a_{k}") * 1.4826, F.lit(floors[k])) for k, c in enumerate(names)]
+    first = [_distance(names), sum((x * x for x in z), F.lit(0.0)), F.greatest(*z) if d > 1 else z[0]]
+    begun = scaled.select(*keys, *names, F.posexplode(F.array(*first)).alias("start", "d2"))
+    started = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    every = [*keys, "start"]
+
+    def concentrated(measured: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+        core = join_sized(measured, table(cuts, "cuts"), by).where("d2 <= q")
+        return table(_estimates(table(_moments(core, by, names), "moments"), by, names, floors), "estimates")
+
+    now = concentrated(begun, quantile(begun, every, "d2", SUPPORT), every)
+    for _ in range(STEPS):
+        measured = join_sized(started, now, every).withColumn("d2", _distance(names)).select(*every, *names, "d2")
+        last, now = now, concentrated(measured, quantile(measured, every, "d2", SUPPORT), every)
+        fall = join_sized(now, last.select(*every, F.col("logdet").alias("before")), every).agg(F.max(F.col("before") - F.col("logdet")))
+        if (fall.first()[0] or 0.0) <= SETTLED:
+            break
+    least = now.groupBy(*keys).agg(F.min(F.struct("logdet", "start", "m", "inv")).alias("e")).select(*keys, "e.m", "e.inv")
+    # the last step weighs anew by the estimate, made consistent at the median
+    measured = join_sized(rows, table(least, "least"), keys).withColumn("d2", _distance(names)).select(*keys, *names, "d2")
+    cuts = quantile(measured, keys, "d2", 0.5).withColumn("q", F.greatest(F.col("q") / CHI2_MEDIAN, F.lit(1.0)) * CHI2_975)
+    return concentrated(measured, cuts, keys).drop("logdet")
 
 
 def judged(d: DataFrame, estimates: DataFrame) -> DataFrame:
