@@ -57,6 +57,11 @@ def fragment(body: str, *leaves: str) -> Piece:
     return Piece(body, body, None, tag_set(*leaves))
 
 
+def run(body: str, *leaves: str) -> Piece:
+    """Part of a literal with holes, as the syntax walker gives it: with the lengths of its source and its text."""
+    return Piece(body, body, f"length({body}) || ',' || length({body})", tag_set(*leaves))
+
+
 def name(body: str, kind: str) -> Piece:
     return Piece(body, body, None, tag_set(f"identifier.{kind}"), False)
 

@@ -18,7 +18,7 @@ from .operators import filters, gaps, regex_scan
 from .operators.extract import exploded, scan
 from .plans import catalog, views
 from .plans.extract import extract, extract_union, issues, parsed
-from .plans.synthetic import Piece, around, code, expected, fragment, lit, marked, name, source
+from .plans.synthetic import Piece, around, code, expected, fragment, lit, marked, name, run, source
 from .sources.files import type_of
 
 NAME, TYPE, BRAND = "p_name", "p_type", "p_brand"
@@ -74,6 +74,11 @@ PROGRAMS: dict[str, list[Piece]] = {
         code(lit("const ")), name(lit("view"), "variable"), code(lit(" = <")), name(lit("p"), "variable"), code(lit(" ")), name(lit("title"), "property"), code(lit("=")), around('"', BRAND, '"', DOUBLE), code(lit(">")),
         Piece(f"{NAME} || {lit('&amp;!')}", f"{NAME} || {lit('&!')}", f"length({NAME}) || ',' || length({NAME}) || ',5,1,1,1'", tag_set("jsx.text")), code(lit("{")), name(lit("value"), "variable"), code(lit("}</")), name(lit("p"), "variable"), code(lit(">;")),
     ],
+    "tree-javascript": [
+        name(lit("outer"), "label"), code(lit(": for (;;) break ")), name(lit("outer"), "label"), code(lit(";\nclass ")), name(f"{lit('C')} || replace({TYPE}, ' ', '')", "variable"), code(lit(" { ")), name(f"{lit('#')} || replace({NAME}, ' ', '_')", "privateProperty"), code(lit(" = ")),
+        around("'", BRAND, "'", SINGLE), code(lit("; }\nconst ")), name(lit("o"), "variable"), code(lit(" = { ")), name(f"replace({NAME}, ' ', '_')", "shorthandProperty"), code(lit(" };\nconst ")), name(lit("t"), "variable"), code(lit(" = `")), run(f"{TYPE} || {lit(' ')}", "string.templateLiteral"),
+        code(lit("${ ")), name(lit("o"), "variable"), code(lit(" }")), run(f"{lit(' ')} || {NAME}", "string.templateLiteral"), code(lit("`;\n")), around("/** ", BRAND, " */", BLOCK_DOC), code(lit("\n")), marked("// ", TYPE, LINE),
+    ],
 }
 
 
