@@ -120,3 +120,39 @@ def test_stage_redacts(spark):
     rows = sorted(out.collect(), key=lambda r: (r.doc_id or 0))
     assert [r.text for r in rows] == ["<EMAIL>", "Mail <EMAIL>, ip <IP>; <PHONE>!", "nothing", None, "é <EMAIL>\U0001f600 <CARD>", "é <EMAIL>\U0001f600 <CARD>"]
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
+def made(df):
+    """Rows that the plan's generators made."""
+    node, out = df._jdf.queryExecution().executedPlan(), 0
+    todo = [node.finalPhysicalPlan() if "Adaptive" in node.getClass().getSimpleName() else node]
+    while todo:
+        node = todo.pop()
+        if "Generate" in node.getClass().getSimpleName():
+            out += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return out
+
+
+def test_rows_are_made_of_the_units_asked_for_alone(spark, monkeypatch):
+    docs = spark.createDataFrame(contexts(), "doc_id long, text string")
+    units = pii.prepared(docs, F.struct("doc_id"))
+    every = {(r.id, r.k): r for r in pii._places(units).collect()}
+    value, pattern = every[(200, min(k for i, k in every if i == 200) + 9)].value, every[(200, min(k for i, k in every if i == 200) + 9)].left
+    for listed in (2000, 0):  # as values in the plan, and by a join
+        monkeypatch.setattr(pii, "LISTED", listed)
+        of_value = pii._of_values(units, pii.table(spark.createDataFrame([(value,)], "value string"), "v"))
+        assert sorted((r.id, r.k) for r in of_value.collect()) == sorted(at for at, r in every.items() if r.value == value)
+        of_pattern = pii._of_patterns(units, pii.table(spark.createDataFrame([(pattern,)], "pattern long"), "p"))
+        assert sorted(r.value for r in of_pattern.collect()) == sorted(r.value for r in every.values() for p in (r.left, r.both) if p == pattern)
+        if listed:
+            assert made(of_value) == sum(r.value == value for r in every.values()) < len(every) / 4
+            assert made(of_pattern) <= 3 * sum(pattern in (r.left, r.both) for r in every.values()) < len(every) / 4
+
+
+def test_places_of_a_value_are_read_once(spark, monkeypatch):
+    asked = []
+    real = pii._of_values
+    monkeypatch.setattr(pii, "_of_values", lambda units, keys: asked.append(keys.columns) or real(units, keys))
+    assert pii.spans(spark.createDataFrame(contexts(), "doc_id long, text string")).where(F.size("extra") > 0).count() == 14
+    assert asked.count(["value"]) == 1  # in every round before

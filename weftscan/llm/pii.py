@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.regex_scan import starts
-from .store import join_sized, table
+from .store import fits_broadcast, join_sized, table
 
 KINDS = ["email", "ip", "card", "phone"]
 SEED = "secret"
@@ -44,6 +44,8 @@ PRECISION, SUPPORT, ACCEPT = 0.8, 3.0, 0.85
 SHARE = 0.5
 #: Patterns are tried on one of so many texts before they are tried on all.
 PARTS = [64, 8]
+#: So many keys, of so many bytes, may stand in a plan, where units are chosen before there are rows of them; more are joined.
+LISTED, LISTED_BYTES = 2000, 256 << 10
 #: How units are stored: their dictionaries are large, and pages pack well.
 PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)}
 #: Code points of a block: what finding a place in a text costs at most.
@@ -205,17 +207,57 @@ def prepared(docs: DataFrame, row: Column) -> DataFrame:
     return table(each, "units", **PACKED)
 
 
+#: The low bits of a pattern are those of the word before, so that most units need no hash to be told apart from some patterns.
+LOW = (1 << 16) - 1
+
+
+def _low(w: Column) -> Column:
+    return F.coalesce(w.bitwiseAND(F.lit(LOW).cast("long")), F.lit(0).cast("long"))
+
+
 def _slots(w2: Column, w1: Column, r1: Column) -> tuple[Column, Column]:
     """The lexical patterns of a unit, hashed: two words before; one word before and one after."""
-    return F.xxhash64(F.lit(1), w2, w1).alias("left"), F.xxhash64(F.lit(2), w1, r1).alias("both")
+    hashed = lambda *parts: F.shiftleft(F.xxhash64(*parts), 16).bitwiseOR(_low(w1))
+    return hashed(F.lit(1), w2, w1).alias("left"), hashed(F.lit(2), w1, r1).alias("both")
+
+
+def _places(units: DataFrame, wanted: Callable[[Column, Column, tuple[Column, Column]], Column] | None = None) -> DataFrame:
+    """id, th, k, value, left, both: every unit that is no base span and holds a letter or a digit, with its patterns.
+
+    With ``wanted``, a condition on the value, the word before and both patterns, other units are left out before there
+    are rows of them.
+    """
+    word = lambda k: F.get("words", k)
+    slots = lambda k: _slots(word(k - 2), word(k - 1), word(k + 1))
+
+    def chosen(v: Column, k: Column) -> Column:
+        ok = (v != "") & (v != MASK)
+        return F.when(ok if wanted is None else ok & wanted(v, word(k - 1), slots(k)), k)
+
+    at = F.filter(F.transform("values", chosen), F.isnotnull)
+    rows = F.transform(at, lambda k: F.struct(k.alias("k"), F.get("values", k).alias("value"), *slots(k)))
+    return units.select("id", "th", F.inline(rows))
+
+
+def _listed(keys: DataFrame) -> list | None:
+    """The values of a stored table of one column, if they are few enough to stand in a plan."""
+    return [r[0] for r in keys.collect()] if fits_broadcast(keys, LISTED, LISTED_BYTES) else None
+
+
+def _of_values(units: DataFrame, keys: DataFrame) -> DataFrame:
+    """The places of some values: ``keys`` is a stored table (value, ...)."""
+    few = _listed(keys.select("value"))
+    wanted = None if few is None else lambda v, before, slots: v.isin(few)
+    return join_sized(_places(units, wanted), keys, ["value"], nulls=False)
 
 
-def _places(units: DataFrame) -> DataFrame:
-    """id, th, k, value, left, both: every unit that is no base span and holds a letter or a digit, with its patterns."""
-    edge = F.array(F.lit(None).cast("long"))
-    zipped = F.arrays_zip(F.col("values").alias("v"), F.concat(edge, edge, "words").alias("w2"), F.concat(edge, "words").alias("w1"), F.slice("words", F.lit(2), F.size("words")).alias("r1"))
-    rows = units.select("id", "th", F.posexplode(zipped).alias("k", "u")).where((F.col("u.v") != "") & (F.col("u.v") != MASK))
-    return rows.select("id", "th", "k", F.col("u.v").alias("value"), *_slots(F.col("u.w2"), F.col("u.w1"), F.col("u.r1")))
+def _of_patterns(units: DataFrame, keys: DataFrame) -> DataFrame:
+    """value, pattern of the places of some patterns: ``keys`` is a stored table (pattern)."""
+    few, wanted = _listed(keys), None
+    if few is not None:
+        lows = sorted({p & LOW for p in few})
+        wanted = lambda v, before, slots: _low(before).isin(lows) & (slots[0].isin(few) | slots[1].isin(few))
+    return join_sized(_spread(_places(units, wanted)), keys, ["pattern"], nulls=False).select("value", "pattern")
 
 
 def _spread(places: DataFrame) -> DataFrame:
@@ -231,7 +273,7 @@ def _seeds(units: DataFrame) -> DataFrame:
         return F.struct(x["k"].alias("k"), x["s"]["value"].alias("value"), x["s"]["kind"].alias("kind"), *_slots(word(-2), word(-1), word(1)))
 
     spans = units.where(F.size("runs") > 0).select("id", "th", F.inline(F.transform(F.arrays_zip(at.alias("k"), F.col("runs").alias("s")), own)))
-    secrets = _places(units.where("secret")).where(F.col("value").rlike(SECRET)).withColumn("kind", F.lit(SEED))
+    secrets = _places(units.where("secret"), lambda v, before, slots: v.rlike(SECRET)).withColumn("kind", F.lit(SEED))
     return spans.unionByName(secrets)
 
 
@@ -242,7 +284,7 @@ def _promising(units: DataFrame, likely: DataFrame) -> DataFrame:
     texts is left out before larger parts are read for it. No pattern is lost that would be strong.
     """
     for part in PARTS:
-        some = join_sized(_spread(_places(units.where(F.pmod(F.col("th"), F.lit(part)) == 0))), likely.select("pattern"), ["pattern"], nulls=False)
+        some = _of_patterns(units.where(F.pmod(F.col("th"), F.lit(part)) == 0), likely.select("pattern"))
         held = some.distinct().groupBy("pattern").agg(F.count("*").alias("n"))
         kept = likely.join(held, "pattern", "left").where(F.col("s") >= PRECISION * F.coalesce("n", F.lit(0)))
         likely = table(kept.select("pattern", "s"), "likely")
@@ -252,20 +294,19 @@ def _promising(units: DataFrame, likely: DataFrame) -> DataFrame:
 def discover(docs: DataFrame, units: DataFrame) -> DataFrame:
     """id, th, extra: the spans that the bootstrapping adds, for texts that get some; ``units`` is what :func:`prepared` gives for ``docs``.
 
-    Units are read anew for the slots of patterns that seeds could make strong, and for the places of what is accepted.
+    Units are read anew for the slots of patterns that seeds could make strong, and for the places of what is accepted;
+    rows are made of those units alone that are asked for.
     """
     found = table(_seeds(units), "instances")
-    places = _places(units)
-    spread = _spread(places)
     scored = seeds = found.groupBy("value").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score"))
     edges = _spread(found).distinct()
-    asked, strong, accepted = None, None, None
+    asked, strong, accepted, around = None, None, None, None
     for _ in range(ROUNDS):
         likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT)
         new = _promising(units, table(likely if asked is None else likely.join(asked, "pattern", "left_anti"), "likely"))
         asked = new if asked is None else asked.unionByName(new)
         if not new.isEmpty():
-            edges = table(edges.unionByName(join_sized(spread, new, ["pattern"], nulls=False).select("value", "pattern")).distinct(), "edges")
+            edges = table(edges.unionByName(_of_patterns(units, new)).distinct(), "edges")
         weighed = edges.join(asked, "pattern").join(scored, "value", "left")
         patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("s"), F.mode("kind", True).alias("kind"))
         strong = table(patterns.where((F.col("s") >= SUPPORT) & (F.col("s") >= PRECISION * F.col("n"))).select("pattern", "kind", (F.col("s") / (F.col("n") + 0.1)).alias("precision")), "patterns")
@@ -275,8 +316,12 @@ def discover(docs: DataFrame, units: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             accepted = None
             break
-        around = table(join_sized(places, fresh.select("value"), ["value"], nulls=False).groupBy("value", "left", "both").count(), "around")
-        ways = around.select("value", "count", F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("left").alias("pattern")), F.struct(F.lit(False).alias("is_left"), F.col("both").alias("pattern")))))
+        # places stay as they are, so only those of values that no round has asked for are read
+        unseen = fresh.select("value") if around is None else table(fresh.select("value").join(around.select("value"), "value", "left_anti"), "unseen")
+        if around is None or not unseen.isEmpty():
+            more = table(_of_values(units, unseen).groupBy("value", "left", "both").count(), "around")
+            around = more if around is None else around.unionByName(more)
+        ways = around.join(fresh.select("value"), "value", "left_semi").select("value", "count", F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("left").alias("pattern")), F.struct(F.lit(False).alias("is_left"), F.col("both").alias("pattern")))))
         ok = F.col("ok").isNotNull()
         sums = [F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (F.col("is_left") & ok, ~F.col("is_left") & ok, F.col("is_left"))]
         held_in = ways.join(strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
@@ -285,7 +330,7 @@ def discover(docs: DataFrame, units: DataFrame) -> DataFrame:
         scored = seeds.unionByName(accepted)
     spots = found.where(F.col("kind") == SEED).select("id", "th", "k", "value", "kind")
     if accepted is not None and not accepted.isEmpty():
-        near = join_sized(places, accepted.select("value", "kind"), ["value"], nulls=False)
+        near = _of_values(units, accepted.select("value", "kind"))
         spoken = join_sized(near.select("id", "th", "k", "value", "kind", F.explode(F.array("left", "both")).alias("pattern")), strong.select("pattern"), ["pattern"], nulls=False)
         spots = spots.unionByName(spoken.select("id", "th", "k", "value", "kind"))
     one = F.struct("k", F.length("value").alias("n"), "kind")
