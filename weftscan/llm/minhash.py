@@ -315,8 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     feats = table(_features(docs), "features")
     some = feats.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]
-    classes = table(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), *firsts)
-                    .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "n_shingles", "sig", "bands"), "classes")
+    shared = F.min("doc_id") < F.max("doc_id")
+    classes = table(some.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), shared.alias("shared"), *firsts)
+                    .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "shared", "n_shingles", "sig", "bands"), "classes")
     rows = classes.select("rep", F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = table(rows.join(leaders, "key"), "members")  # most buckets have one member, and end here
@@ -340,7 +341,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = table(links.union(more), "links")
         roots = table(components(links), "roots")
 
-    labels = table(join_sized(classes.select("set_id", "rep"), roots.withColumnRenamed("label", "rep"), ["rep"], "left").select("set_id", F.coalesce("root", "rep").alias("label")), "labels")
+    # a class of one document that nothing links needs no label: the document is its own component
+    labelled = join_sized(classes.select("set_id", "rep", "shared"), roots.withColumnRenamed("label", "rep"), ["rep"], "left").where("shared OR root IS NOT NULL")
+    labels = table(labelled.select("set_id", F.coalesce("root", "rep").alias("label")), "labels")
     out = join_sized(feats.select("doc_id", "th", "n_shingles", "set_id"), labels, ["set_id"], "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), F.col("doc_id"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -352,12 +355,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that agree in doc_id and text the least in the order of ``docs``' columns stays, nulls first. Rows without a
     doc_id all stay, as do those without words. Columns may have any names: they travel inside ``row``.
     """
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    kept = table(kept.withColumnsRenamed({"doc_id": "id"}), "kept")
+    found = near_duplicates(docs).groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.first("kept").alias("kept"))
+    odd = table(found.where("NOT kept OR n > 1").withColumnsRenamed({"doc_id": "id"}), "odd")  # most rows are kept as they are
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    left = join_sized(keyed, kept, ["id", "th"])
-    once = left.where("n = 1 OR id IS NULL").select("row")
+    left = join_sized(keyed, odd, ["id", "th"], "left").where("kept IS NULL OR kept")
+    once = left.where("n IS NULL OR n = 1 OR id IS NULL").select("row")
     again = left.where("n > 1 AND id IS NOT NULL").groupBy("id", "th").agg(F.min("row").alias("row")).select("row")
     return once.unionByName(again).select("row.*")
 

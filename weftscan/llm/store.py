@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes of a side that may be broadcast; both are counted before each join.
-BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 24 << 20
+#: Rows and bytes of a side that may be broadcast; both are counted before each join. The driver holds a side several
+#: times over, and sides of some joins at once, in a heap that may be small.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 #: Rows in an Arrow batch: whole documents, so batches stay small.
 BATCH_ROWS = 256
 BATCH_BYTES = 4 << 20
