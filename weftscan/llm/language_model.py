@@ -294,6 +294,8 @@ def _ask(chunks: DataFrame, shard_bits: int) -> DataFrame:
 
 
 def _answer(shard_bits: int):
+    """A shard's answers. What several chunks ask is looked up once, so that a chunk costs a shard its share of sorting alone."""
+
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         asked = asked.sort_values("chunk")
         keys = [np.frombuffer(x, _U) for x in asked["keys"]]
@@ -304,7 +306,7 @@ def _answer(shard_bits: int):
             summed = np.bincount(place, counts, len(words)).astype(np.int64)
             level = Words(words[summed > 0], summed[summed > 0])
             total, distinct = level.total, level.n
-            found = [level.counts(k).tobytes() for k in keys]
+            found, sizes = level.counts(words)[place], [len(k) for k in keys]
         else:
             runs = [np.frombuffer(x, np.uint32).astype(np.int64) for x in asked["runs"]]
             more = [np.frombuffer(x, np.uint32) for x in asked["more"]]
@@ -312,10 +314,11 @@ def _answer(shard_bits: int):
             pair = (np.repeat(place, np.concatenate(runs)).astype(_U) << _U(32)) | np.concatenate(more).astype(_U)
             pair, place = np.unique(pair, return_inverse=True)
             summed = np.bincount(place, counts, len(pair)).astype(np.int64)
-            pair, summed = pair[summed > 0], summed[summed > 0]
-            level = Successors(contexts[(pair >> _U(32)).astype(np.int64)], (pair & _U(0xFFFFFFFF)).astype(np.uint32), summed)
-            found = [level.lookup(k, r, m).tobytes() for k, r, m in zip(keys, runs, more, strict=True)]
-        return pd.DataFrame({"chunk": asked["chunk"], "shard": asked["shard"], "total": total, "distinct": distinct, "found": found})
+            node, successor, seen = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.uint32), summed > 0
+            level = Successors(contexts[node[seen]], successor[seen], summed[seen])
+            found, sizes = level.lookup(contexts, np.bincount(node, minlength=len(contexts)), successor)[place], [len(m) for m in more]
+        parts = [x.tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
+        return pd.DataFrame({"chunk": asked["chunk"], "shard": asked["shard"], "total": total, "distinct": distinct, "found": parts})
 
     return run
 
