@@ -257,11 +257,13 @@ def _of_patterns(units: DataFrame, keys: DataFrame) -> DataFrame:
     if few is not None:
         lows = sorted({p & LOW for p in few})
         wanted = lambda v, before, slots: _low(before).isin(lows) & (slots[0].isin(few) | slots[1].isin(few))
-    return join_sized(_spread(_places(units, wanted)), keys, ["pattern"], nulls=False).select("value", "pattern")
+    return join_sized(_spread(_places(units, wanted), few), keys, ["pattern"], nulls=False).select("value", "pattern")
 
 
-def _spread(places: DataFrame) -> DataFrame:
-    return places.select("value", F.explode(F.array("left", "both")).alias("pattern"))
+def _spread(places: DataFrame, few: list | None = None) -> DataFrame:
+    """value, pattern: both patterns of every place, or those of them that are among a few."""
+    both = F.array("left", "both")
+    return places.select("value", F.explode(both if few is None else F.filter(both, lambda p: p.isin(few))).alias("pattern"))
 
 
 def _seeds(units: DataFrame) -> DataFrame:
