@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .store import join_sized, narrow_batches, table
+from .store import join_shuffled, join_sized, narrow_batches, table
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -166,12 +166,12 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     """The pairs (a, b) whose full sets reach the threshold. Only texts of classes in a pair are read into sets."""
     sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, docs)
     one, two = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
-    return pairs.select("a", "b").join(one, "b").join(two, "a").where(linked("ha", "hb")).select("a", "b")
+    return join_shuffled(join_shuffled(pairs.select("a", "b"), one, "b"), two, "a").where(linked("ha", "hb")).select("a", "b")
 
 
 def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """rep, hashes: the full sets of some classes, as a stored table."""
-    wanted = table(classes.select("set_id", "rep", "th").join(reps, "rep", "left_semi"), "wanted")
+    wanted = table(join_shuffled(classes.select("set_id", "rep", "th"), reps, "rep", "left_semi"), "wanted")
     texts = join_sized(_texts(docs), wanted.select(F.col("rep").alias("doc_id"), "th").distinct(), ["doc_id", "th"])
     sets = _sets(texts).dropDuplicates(["set_id"])
     return table(join_sized(sets, wanted.select("set_id", "rep"), ["set_id"]).select("rep", "hashes"), "sets")
@@ -201,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
             roots = up
         else:
             over = up.select(F.col("label").alias("root"), F.col("root").alias("next"))
-            roots = table(join_sized(roots, over, ["root"], "left").select("label", F.coalesce("next", "root").alias("root")).unionByName(up.join(roots, "label", "left_anti")), "roots")
+            roots = table(join_sized(roots, over, ["root"], "left").select("label", F.coalesce("next", "root").alias("root")).unionByName(join_shuffled(up, roots, "label", "left_anti")), "roots")
     return roots if roots is not None else links.select(F.col("la").alias("label"), F.col("lb").alias("root"))
 
 
@@ -320,11 +320,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     .select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "shared", "n_shingles", "sig", "bands"), "classes")
     rows = classes.select("rep", F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = table(rows.join(leaders, "key"), "members")  # most buckets have one member, and end here
+    members = table(join_shuffled(rows, leaders, "key"), "members")  # most buckets have one member, and end here
     sigs = classes.select("rep", "sig")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    both = star.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
+    both = join_shuffled(star, sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    both = join_shuffled(both, sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     near = table(both.where(estimated("sa", "sb") >= LEAST_ESTIMATE).select("a", "b"), "near")
     links = table(_confirm(near, classes, docs).select(F.col("a").alias("la"), F.col("b").alias("lb")), "links")
     roots = table(components(links), "roots")  # of classes that have a link; the others are their own
@@ -332,12 +333,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = join_sized(members, roots.withColumnRenamed("label", "rep"), ["rep"], "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
     mixed = table(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
     rest = table(join_sized(own, mixed, ["key"]), "rest")
-    wide = rest.join(classes.select("rep", "sig", "bands", "n_shingles"), "rep")
+    wide = join_shuffled(rest, classes.select("rep", "sig", "bands", "n_shingles"), "rep")
     hopeful = table(_hopeful(wide), "hopeful")
     if not hopeful.isEmpty():
         sets = _sets_of(hopeful.select("rep").distinct(), classes, docs)
-        left = rest.drop("n").join(hopeful, ["key", "rep"]).join(hopeful.groupBy("key").agg(F.count("*").alias("n")), "key")
-        more = _links_in_cells(left.join(classes.select("rep", "sig", "bands", "n_shingles"), "rep").join(sets, "rep"))
+        left = join_shuffled(join_shuffled(rest.drop("n"), hopeful, ["key", "rep"]), hopeful.groupBy("key").agg(F.count("*").alias("n")), "key")
+        more = _links_in_cells(join_shuffled(join_shuffled(left, classes.select("rep", "sig", "bands", "n_shingles"), "rep"), sets, "rep"))
         links = table(links.union(more), "links")
         roots = table(components(links), "roots")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.regex_scan import starts
-from .store import fits_broadcast, join_sized, table
+from .store import fits_broadcast, join_shuffled, join_sized, table
 
 KINDS = ["email", "ip", "card", "phone"]
 SEED = "secret"
@@ -288,7 +288,7 @@ def _promising(units: DataFrame, likely: DataFrame) -> DataFrame:
     for part in PARTS:
         some = _of_patterns(units.where(F.pmod(F.col("th"), F.lit(part)) == 0), likely.select("pattern"))
         held = some.distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-        kept = likely.join(held, "pattern", "left").where(F.col("s") >= PRECISION * F.coalesce("n", F.lit(0)))
+        kept = join_shuffled(likely, held, "pattern", "left").where(F.col("s") >= PRECISION * F.coalesce("n", F.lit(0)))
         likely = table(kept.select("pattern", "s"), "likely")
     return likely.select("pattern")
 
@@ -304,31 +304,31 @@ def discover(docs: DataFrame, units: DataFrame) -> DataFrame:
     edges = _spread(found).distinct()
     asked, strong, accepted, around = None, None, None, None
     for _ in range(ROUNDS):
-        likely = edges.join(scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT)
-        new = _promising(units, table(likely if asked is None else likely.join(asked, "pattern", "left_anti"), "likely"))
+        likely = join_shuffled(edges, scored, "value").groupBy("pattern").agg(F.sum("score").alias("s")).where(F.col("s") >= SUPPORT)
+        new = _promising(units, table(likely if asked is None else join_shuffled(likely, asked, "pattern", "left_anti"), "likely"))
         asked = new if asked is None else asked.unionByName(new)
         if not new.isEmpty():
             edges = table(edges.unionByName(_of_patterns(units, new)).distinct(), "edges")
-        weighed = edges.join(asked, "pattern").join(scored, "value", "left")
+        weighed = join_shuffled(join_shuffled(edges, asked, "pattern"), scored, "value", "left")
         patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("s"), F.mode("kind", True).alias("kind"))
         strong = table(patterns.where((F.col("s") >= SUPPORT) & (F.col("s") >= PRECISION * F.col("n"))).select("pattern", "kind", (F.col("s") / (F.col("n") + 0.1)).alias("precision")), "patterns")
         miss = F.sum(F.log(1 - F.least("precision", F.lit(0.99))))
         reached = join_sized(edges, strong, ["pattern"], nulls=False).groupBy("value").agg(F.max_by("kind", F.struct("precision", "kind")).alias("kind"), (1 - F.exp(miss)).alias("score"))
-        fresh = table(reached.where(F.col("score") >= ACCEPT).join(seeds, "value", "left_anti").select("value", "kind", "score"), "fresh")
+        fresh = table(join_shuffled(reached.where(F.col("score") >= ACCEPT), seeds, "value", "left_anti").select("value", "kind", "score"), "fresh")
         if fresh.isEmpty():
             accepted = None
             break
         # places stay as they are, so only those of values that no round has asked for are read
-        unseen = fresh.select("value") if around is None else table(fresh.select("value").join(around.select("value"), "value", "left_anti"), "unseen")
+        unseen = fresh.select("value") if around is None else table(join_shuffled(fresh.select("value"), around.select("value"), "value", "left_anti"), "unseen")
         if around is None or not unseen.isEmpty():
             more = table(_of_values(units, unseen).groupBy("value", "left", "both").count(), "around")
             around = more if around is None else around.unionByName(more)
-        ways = around.join(fresh.select("value"), "value", "left_semi").select("value", "count", F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("left").alias("pattern")), F.struct(F.lit(False).alias("is_left"), F.col("both").alias("pattern")))))
+        ways = join_shuffled(around, fresh.select("value"), "value", "left_semi").select("value", "count", F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("left").alias("pattern")), F.struct(F.lit(False).alias("is_left"), F.col("both").alias("pattern")))))
         ok = F.col("ok").isNotNull()
         sums = [F.sum(F.when(c, F.col("count")).otherwise(0)) for c in (F.col("is_left") & ok, ~F.col("is_left") & ok, F.col("is_left"))]
-        held_in = ways.join(strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
-        accepted = table(fresh.join(held_in.where(F.col("share") >= SHARE).select("value"), "value"), "accepted")
-        edges = edges.unionByName(ways.join(accepted, "value", "left_semi").select("value", "pattern")).distinct()
+        held_in = join_shuffled(ways, strong.select("pattern", F.lit(True).alias("ok")), "pattern", "left").groupBy("value").agg((F.greatest(sums[0], sums[1]) / sums[2]).alias("share"))
+        accepted = table(join_shuffled(fresh, held_in.where(F.col("share") >= SHARE).select("value"), "value"), "accepted")
+        edges = edges.unionByName(join_shuffled(ways, accepted, "value", "left_semi").select("value", "pattern")).distinct()
         scored = seeds.unionByName(accepted)
     spots = found.where(F.col("kind") == SEED).select("id", "th", "k", "value", "kind")
     if accepted is not None and not accepted.isEmpty():

@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and joins whose small side is measured before it is broadcast."""
+"""Where intermediate tables go, and joins: a side is broadcast only if it was counted before."""
 
 from __future__ import annotations
 
@@ -75,11 +75,10 @@ def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
 def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, nulls: bool = True) -> DataFrame:
     """Join on null-safe equality; ``small`` is broadcast only if it is counted at ``limit`` rows or fewer and BROADCAST_BYTES.
 
-    Beyond the limits it is an ordinary shuffled join, whose hot keys adaptive execution splits. ``small`` should be a
+    Beyond the limits it is a shuffled join, whose hot keys adaptive execution splits. ``small`` should be a
     stored table, as it is counted here and read again. Without ``nulls`` keys are compared by plain equality.
     """
-    if fits_broadcast(small, limit):
-        small = F.broadcast(small)
+    small = F.broadcast(small) if fits_broadcast(small, limit) else small.hint("merge")
     if not nulls:
         return df.join(small, on, how)
     for c in on:
@@ -89,3 +88,12 @@ def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
         one = df[c].eqNullSafe(small[f"__{c}"])
         cond = one if cond is None else cond & one
     return df.join(small, cond, how).drop(*[f"__{c}" for c in on])
+
+
+def join_shuffled(df: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join on plain equality by sorting both sides, neither of which was counted.
+
+    Left to itself, Spark broadcasts what it supposes to be small, and it takes what an explode makes to be as large as
+    what it was made of: millions of rows went to the driver.
+    """
+    return df.join(other.hint("merge"), on, how)
